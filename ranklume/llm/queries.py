@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan
-from .common import table
+from . import chat_format, license_scan, quality, toxicity
+from .common import held_out_column, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,20 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of a fifth of them are held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out_column(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of a fifth of them are held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out_column(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+
+
 #: A conversation with the template's own control strings.
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -59,7 +73,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_chat_format)}
+    return {f.__name__: f for f in (op1_license_scan, op3_quality_classifier, op4_chat_format, op6_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
