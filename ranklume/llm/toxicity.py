@@ -1,8 +1,8 @@
 """Toxic passages: maximum-scoring segments of token log-odds, calibrated by extreme values.
 
 Tokens get log-odds with a Dirichlet prior from a bounded sample of labelled
-documents; a word that has none of its own takes that of its longest known
-beginning, so that inflected forms count. Every maximal scoring segment is found in linear time; the E-value
+documents; a word takes the best of its own and those of its beginnings, so
+that inflected forms count. Every maximal scoring segment is found in linear time; the E-value
 of a segment follows from the Gumbel law of the best segment of clean text. A
 small logistic fit turns a document's E-values into a score.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,10 @@ WORDS = re.compile(r"[^\W_]+")
 STEMS = (6, 5, 4)
 #: Words whose scores a task keeps at hand.
 MEMO = 300_000
+#: The least score that a token may have of its own; weaker evidence is noise of the sample.
+LEAST = 0.8
+#: Times that one word counts in a text.
+REPEATS = 2
 
 
 @dataclass
@@ -80,23 +85,23 @@ class Scores(dict):
         self.known = scores
 
     def __missing__(self, word: str) -> float | None:
-        score = self.known.get(word)
-        for k in STEMS:
-            if score is not None:
-                break
-            if len(word) >= k:
-                score = self.known.get(f"{word[:k]}*")
+        keys = [word, *(f"{word[:k]}*" for k in STEMS if len(word) >= k)]
+        score = max((s for k in keys if (s := self.known.get(k)) is not None), default=None)
         if len(self) >= MEMO:
             self.clear()
         self[word] = score
         return score
 
 
-def passages(text: str | None, scores: Scores, other: float) -> tuple[int, list[tuple[int, int, float]], list[float]]:
-    """Number of tokens, segments, and the scores of tokens that have one."""
+def passages(text: str | None, scores: Scores, other: float) -> tuple[int, list[tuple[int, int, float]]]:
+    """Number of tokens, and segments. A word's score counts REPEATS times in a text: repeated lines are no evidence."""
     words = tokens(text)
-    places = [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s is not None]
-    return len(words), segments(places, len(words), other), [s for _, s in places]
+    places, seen = [], Counter()
+    for i, s in enumerate(map(scores.__getitem__, words)):
+        if s is not None and seen[words[i]] < REPEATS:
+            seen[words[i]] += 1
+            places.append((i, s))
+    return len(words), segments(places, len(words), other)
 
 
 def log_e(score: float, n: int, model: Model) -> float:
@@ -105,11 +110,11 @@ def log_e(score: float, n: int, model: Model) -> float:
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> tuple[float, float]:
-    """-log E of the best segment (at least -5), and log1p of the number of segments with E below 1."""
+    """-log E of the best segment (at least -5), and log1p of the number of segments with E below 0.1."""
     if not found:
         return -5.0, 0.0
     best = max(-log_e(found_[2], n, model) for found_ in found)
-    return max(-5.0, min(60.0, best)), math.log1p(sum(log_e(s[2], n, model) < 0 for s in found))
+    return max(-5.0, min(60.0, best)), math.log1p(sum(log_e(s[2], n, model) < -2.3 for s in found))
 
 
 def probability(features: tuple[float, float], model: Model) -> float:
@@ -118,81 +123,94 @@ def probability(features: tuple[float, float], model: Model) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """Texts with labels that may be learned: at most ``rows``, the first by a hash of doc_id. A document with several labels counts by the largest; unlabelled or null ones do not count."""
+    """Texts with labels that may be learned: at most ``rows``, the first by a hash of doc_id. A document with several labels counts by the largest; unlabelled or null ones do not count. Copies of a text count once."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out_column(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("text").agg(F.max("label").alias("label"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, vocabulary: int = 20_000, least_docs: int = 3, prior: float = 200.0, z: float = 2.5) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, vocabulary: int = 20_000, least_docs: int = 3, prior: float = 100.0, z: float = 2.0) -> Model | None:
     """Learns from at most ``rows`` labelled documents (a bounded sample, broadcast by id); None where a label is missing.
 
-    Counts are of documents that hold a token. Only tokens in ``least_docs`` documents whose log-odds is ``z`` standard errors
-    from 0 keep their own score, at most ``vocabulary`` of them; the model is broadcast and has that bound.
+    Counts are of documents that hold a token. A token's score is its log-odds less ``z`` standard errors; only tokens of
+    ``least_docs`` documents that keep a positive score count, at most ``vocabulary`` of them; the model is broadcast and has
+    that bound. Calibration is cross-fitted: a document's evidence comes from scores of the other half of the sample.
     """
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
-        docs_: Counter = Counter()
+        held: dict[str, list[int]] = {}
 
         def flush():
-            both = [(w, held[0][w], held[1][w]) for w in held[0].keys() | held[1].keys()] + [("", docs_[0], docs_[1])]
-            for c in (*held, docs_):
-                c.clear()
-            a, b, c = zip(*both, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["token", "clean", "bad"])
+            kept = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([c[i] for c in held.values()], pa.int64()) for i in range(4))], ["token", *COUNTS])
+            held.clear()
+            return kept
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = set(tokens(text))
-                held[1 if y else 0].update(words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k})
-                docs_[1 if y else 0] += 1
-            if len(held[0]) + len(held[1]) > 200_000:
+                at = 2 * half(text) + (1 if y else 0)
+                for w in words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k} | {""}:
+                    held.setdefault(w, [0, 0, 0, 0])[at] += 1
+            if len(held) > 200_000:
                 yield flush()
         yield flush()
 
-    counted = sample.mapInArrow(count, "token string, clean long, bad long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    whole = counted.where("token = ''").first()
-    if whole is None or not whole["clean"] or not whole["bad"]:
+    counted = sample.mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("token").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    seen = counted.where((F.col("bad0") + F.col("bad1") >= least_docs) | (F.col("token") == ""))
+    rank = (F.col("bad0") + F.col("bad1")) / F.sqrt(F.col("clean0") + F.col("clean1") + 1.0)
+    few = seen.orderBy(F.col("token") != "", F.desc(rank), "token").limit(4 * vocabulary).toPandas()
+    whole = few[few.token == ""]
+    if whole.empty or not (whole.clean0 + whole.clean1).iloc[0] or not (whole.bad0 + whole.bad1).iloc[0]:
         return None
-    n0, n1 = whole["clean"], whole["bad"]
-    share = (F.col("clean") + F.col("bad")) / F.lit(n0 + n1)
-    a = F.greatest(share * prior, F.lit(0.01))
-    odds = F.log((F.col("bad") + a) / (n1 + prior - F.col("bad") - a + 1e-9)) - F.log((F.col("clean") + a) / (n0 + prior - F.col("clean") - a + 1e-9))
-    error = F.sqrt(1 / (F.col("bad") + a) + 1 / (F.col("clean") + a))
-    kept = counted.where((F.col("token") != "") & (F.col("clean") + F.col("bad") >= least_docs)).select("token", odds.alias("odds"), (odds / error).alias("z"), share.alias("share")).where(F.abs("z") >= z).orderBy(F.desc(F.abs("z")), "token").limit(vocabulary).collect()
-    scores = {r["token"]: max(-6.0, min(6.0, r["odds"])) for r in kept if r["odds"] is not None}
-    model = Model(scores, -0.1, 1.0, 0.1, (0.0, 0.0, 0.0))
+    total, few = whole.iloc[0], few[few.token != ""]
+    both = (few.clean0 + few.clean1, few.bad0 + few.bad1, total.clean0 + total.clean1, total.bad0 + total.bad1)
+    best = lambda found: dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:vocabulary])
+    scores = best(_scores(few.token, *both, prior, z))
+    crossed = [best(_scores(few.token, few[f"clean{i}"], few[f"bad{i}"], total[f"clean{i}"], total[f"bad{i}"], prior, z)) for i in (1, 0)]
+    other = -0.1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Scores(scores)
+        memos = [Scores(x) for x in crossed]
         for batch in batches:
             out = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, found, spots = passages(text, memo, model.other)
-                out.append((y, n, max((s[2] for s in found), default=0.0), [s[2] for s in found]))
+                n, found = passages(text, memos[half(text)], other)
+                out.append((y, n, sorted((s[2] for s in found), reverse=True)[:100]))
             columns = list(zip(*out, strict=True)) or [[] for _ in SCAN]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCAN, strict=True)], schema=SCAN)
 
-    seen = sample.mapInArrow(scan, "label int, n long, best double, found array<double>").toPandas()
+    seen = sample.mapInArrow(scan, "label int, n long, found array<double>").toPandas().sort_values(["label", "n"])
     clean = seen[(seen.label == 0) & (seen.n > 0)]
-    # The Gumbel law by moments: the best segments of clean text spread by pi / (decay * sqrt 6).
-    best = clean.best.to_numpy()
-    model.decay = 1.0
-    spread = float(np.std(best))
-    if spread > 0:
-        model.decay = float(min(3.0, max(0.05, math.pi / (spread * math.sqrt(6)))))
-    # The size is what makes the mean of the best segments that of the Gumbel law: mean = (log(size n) + gamma) / decay.
-    model.size = float(np.exp(np.mean(model.decay * best - 0.5772 - np.log(np.maximum(clean.n.to_numpy(), 1))))) if len(clean) else 0.1
-    model.size = max(model.size, 1e-9)
+    top = np.array([max(f, default=0.0) for f in clean.found])
+    # The Gumbel law by two quantiles, which a few mislabelled texts don't move: q(p) = (log(size n) - log(-log p)) / decay.
+    mid, high = np.quantile(top, [0.5, 0.97]) if len(top) else (0.0, 0.0)
+    decay = float(np.clip((math.log(-math.log(0.5)) - math.log(-math.log(0.97))) / max(high - mid, 1e-9), 0.5, 3.0))
+    size = float(np.exp(decay * mid + math.log(math.log(2)) - np.log(np.median(clean.n)))) if len(top) else 0.1
+    model = Model(scores, other, decay, max(size, 1e-9), (0.0, 0.0, 0.0))
     x = np.array([evidence(n, [(0, 0, s) for s in found], model) for n, found in zip(seen.n, seen.found, strict=True)]).reshape(-1, 2)
     model.fit = _logistic(x, seen.label.to_numpy(float))
     return model
 
 
-SCAN = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("best", pa.float64()), ("found", pa.list_(pa.float64()))])
+COUNTS = ("clean0", "bad0", "clean1", "bad1")
+
+
+def half(text: str | None) -> int:
+    """The half of the sample that a text belongs to; copies of a text share it."""
+    return zlib.crc32((text or "").encode()) & 1
+
+
+def _scores(token, clean, bad, n0: int, n1: int, prior: float, z: float) -> dict[str, float]:
+    share = (clean + bad) / max(1, n0 + n1)
+    a = np.maximum(share * prior, 0.01)
+    odds = np.log((bad + a) / (n1 + prior - bad - a).clip(lower=0.01)) - np.log((clean + a) / (n0 + prior - clean - a).clip(lower=0.01))
+    score = (odds - z * np.sqrt(1 / (bad + a) + 1 / (clean + a))).clip(upper=6.0)
+    return {t: float(s) for t, s in zip(token, score, strict=True) if s >= LEAST}
+
+
+SCAN = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("found", pa.list_(pa.float64()))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float, float]:
@@ -229,7 +247,7 @@ def toxicity(docs: DataFrame, model: Model | None, significant: float = 0.01) ->
         for batch in batches:
             ids, scores, spans = batch.column(0).to_pylist(), [], []
             for text in batch.column(1).to_pylist():
-                n, found, _ = passages(text, memo, m.other) if m else (0, [], [])
+                n, found = passages(text, memo, m.other) if m else (0, [])
                 scores.append(probability(evidence(n, found, m), m) if m else 0.0)
                 spans.append([{"start_word": a, "end_word": b, "e_value": math.exp(min(50.0, e))} for a, b, s in found if (e := log_e(s, n, m)) <= math.log(significant)])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(spans, ARROW.field(2).type)], schema=ARROW)
