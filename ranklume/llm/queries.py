@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, quality, toxicity
+from . import chat_format, fingerprint, license_scan, quality, simhash, toxicity
 from .common import held_out_column, table
 
 
@@ -23,6 +23,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out_column(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprint.against_edited(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of a fifth of them are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -53,6 +58,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; links at 2 or fewer differing bits."""
+    found = simhash.components(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP4_SQL = r"""
 WITH rows_ AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
@@ -73,7 +84,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_quality_classifier, op4_chat_format, op6_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op3_quality_classifier, op4_chat_format, op5_document_fingerprints, op6_toxicity, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
