@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,32 +22,53 @@ from pyspark.sql.window import Window
 
 from .common import small_batches, staged
 
-#: Ids of words that a task keeps at hand.
-MEMO = 200_000
+#: Words, and cores of words, whose ids a task keeps at hand: the first it meets, so mostly the frequent ones.
+MEMO = 400_000
 #: White space that Python or the tokenizer, but not both for sure, splits at.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -​    　]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 PLAIN_SPACE = re.compile("[ \t\n\r\f\v]+")
+#: Marks that make one run of their own after a core of letters; letters that normalisation only lower-cases.
+MARKS = ".,;:!?$%&*#|)"
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 
 
 class Words(dict):
-    """The id bytes of words between white space, each encoded once; a task forgets all at MEMO words."""
+    """The id bytes of words between white space. The tokenizer joins nothing across white space, nor letters with marks,
+    so a word of letters and final marks is encoded by the model alone, in two parts; any other by the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of whole texts. The tokenizer joins nothing across white space, so words stand alone."""
-        split = [PLAIN_SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*split) - self.keys()
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = set().union(*split)
-        found = list(new)
-        for w, e in zip(found, self.tokenizer.encode_batch_fast(found, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        self.model = self.tokenizer.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = iter(range(256, 512))
+        self.shown = {b: b if b in plain else next(other) for b in range(256)}  # the characters that stand for bytes
+        self.cores: dict[str, bytes] = {}
+
+    def core(self, part: str) -> bytes:
+        found = self.cores.get(part)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.shown))]).tobytes()
+            if len(self.cores) < MEMO:
+                self.cores[part] = found
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if core and (core.isascii() and core.isalpha() or LETTERS.fullmatch(core)):
+            found = self.core(core.lower())
+            if len(core) < len(word):
+                found += self.core(word[len(core) :])
+        else:
+            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) < MEMO:
+            self[word] = found
+        return found
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a whole text."""
+        return b"".join(map(self.__getitem__, PLAIN_SPACE.split(text) if ODD_SPACE.search(text) else text.split()))
 
 
 _WORDS: dict[str, Words] = {}
@@ -60,12 +82,12 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, stop: int = 0) ->
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = _WORDS.setdefault(tokenizer, None) or _WORDS.update({tokenizer: Words(tokenizer)}) or _WORDS[tokenizer]
+        words = _WORDS.get(tokenizer) or _WORDS.setdefault(tokenizer, Words(tokenizer))
         end = np.array([stop], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                raw = ids + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = words.ids(text or "") + end
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at : at + 4 * size]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -213,12 +235,12 @@ def _subset(spare: dict[int, int], room: int) -> dict[int, int]:
     return found
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 2048, bucket: int = 2000) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 2048, bucket: int = 512) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs (doc_id, text).
 
     The histogram (at most ``size`` rows) is all that reaches the driver; the configurations go back as a table of bounded
-    size. A length with many pieces is dealt into buckets of about ``bucket`` pieces, which are ranked apart, so no length
-    is one task. Rows of equal doc_id are packed each; empty docs give no row.
+    size. A length with many pieces is dealt into buckets of about ``bucket`` pieces (more where that made over 100,000
+    buckets), which are ranked apart, so no length is one task. Rows of equal doc_id are packed each; empty docs give no row.
     """
     spark = docs.sparkSession
     cut, _ = staged(pieces(docs, tokenizer, size), "pieces")
@@ -236,6 +258,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 2048, bucket:
             at += length * k
         base += n
     shared = spark.sparkContext.broadcast({length: np.array(x, np.int64) for length, x in slots.items()})
+    bucket = max(bucket, sum(histogram.values()) // 100_000)
     buckets = {length: -(-n // bucket) for length, n in histogram.items()}
     many = spark.createDataFrame([(length, b) for length, b in buckets.items()] or [(0, 1)], "length long, buckets long")
     dealt, _ = staged(cut.join(F.broadcast(many), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "buckets")), "dealt")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, license_scan, quality, simhash, toxicity
+from . import chat_format, fingerprint, license_scan, packing, quality, secret_scan, simhash, toxicity
 from .common import held_out_column, table
 
 
@@ -16,6 +16,18 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file; every executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' tokens in sequences of 2048."""
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels of a fifth of them are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +70,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and places of the secrets in every document."""
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda rank: F.size(F.filter("strong", lambda s: s["rank"] == rank)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.listed(F.col("strong")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; links at 2 or fewer differing bits."""
     found = simhash.components(table(spark, sf_dir, "documents"), width=3, radius=2)
@@ -84,7 +103,7 @@ FROM sized GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_quality_classifier, op4_chat_format, op5_document_fingerprints, op6_toxicity, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_classifier, op4_chat_format, op5_document_fingerprints, op6_toxicity, op7_secret_scan, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
