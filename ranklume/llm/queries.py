@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, license_scan, packing, quality, secret_scan, simhash, toxicity
+from . import chat_format, decontaminate, fingerprint, license_scan, packing, quality, secret_scan, simhash, substring_dedup, toxicity
 from .common import held_out_column, table
 
 
@@ -83,6 +83,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without runs of 50 words that an earlier document has."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=50, texts=False).drop("kept")
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP4_SQL = r"""
 WITH rows_ AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
@@ -102,9 +112,26 @@ FROM sized GROUP BY conv_id
 """
 
 
+OP9_SQL = r"""
+WITH w AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+starts AS (SELECT doc_id, UNNEST(RANGE(1, LEN(words) - 48)) AS s, words FROM w WHERE LEN(words) >= 50),
+runs AS (SELECT doc_id, s, ARRAY_TO_STRING(words[s:s + 49], ' ') AS run FROM starts),
+firsts AS (SELECT run, MIN(doc_id) AS low FROM runs GROUP BY run),
+gone AS (SELECT DISTINCT r.doc_id, UNNEST(RANGE(r.s, r.s + 50)) AS p FROM runs r JOIN firsts f ON r.run = f.run WHERE f.low < r.doc_id),
+places AS (SELECT doc_id, UNNEST(words) AS word, GENERATE_SUBSCRIPTS(words, 1) AS p FROM w),
+kept AS (
+  SELECT a.doc_id, STRING_AGG(a.word, ' ' ORDER BY a.p) AS line, COUNT(*) AS n
+  FROM places a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.p = a.p WHERE g.p IS NULL GROUP BY a.doc_id)
+SELECT w.doc_id, CAST(LEN(w.words) AS BIGINT) AS n_words, CAST(LEN(w.words) - COALESCE(k.n, 0) AS BIGINT) AS n_removed,
+  SHA256(COALESCE(k.line, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_classifier, op4_chat_format, op5_document_fingerprints, op6_toxicity, op7_secret_scan, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_classifier, op4_chat_format, op5_document_fingerprints, op6_toxicity, op7_secret_scan, op8_simhash_near_dedup, op9_substring_dedup, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL}
+    return {"op4_chat_format": OP4_SQL, "op9_substring_dedup": OP9_SQL}
