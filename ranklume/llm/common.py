@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,9 +100,34 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Bits of a filter of ids, which has this size however many ids there are.
+FILTER_BITS = 1 << 25
+
+
+def maybe_among(ids: DataFrame, key: str) -> Callable[[F.Column], F.Column]:
+    """A test of a long column: false means that the value is not among ids[key]; true means that it may be.
+
+    The bits are set on executors; 4 MB are broadcast for any number of ids. With very many ids the filter passes all,
+    so it may only save work.
+    """
+    spark = ids.sparkSession
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    found = ids.select(F.shiftrightunsigned(slot, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64L) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
+    held = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        h = hashes.to_numpy()
+        return pd.Series(held.value[(h % FILTER_BITS) >> 6] >> (h % 64) & 1 == 1)
+
+    return lambda column: test(F.xxhash64(column))
+
+
 def _mark(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
 
 
-__all__ = ["T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "salted_lookup", "shared_folder", "small_batches", "staged", "table"]
+__all__ = ["T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "maybe_among", "salted_lookup", "shared_folder", "small_batches", "staged", "table"]

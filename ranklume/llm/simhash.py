@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, dropped, salted_lookup, small_batches, staged
+from .common import connected_components, dropped, maybe_among, salted_lookup, small_batches, staged
 
 SEED = 42
 
@@ -92,3 +92,101 @@ def components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = salted_lookup(rooted.select("fp", "root"), lowest, "root", "fp").select("fp", "component_id")
     return salted_lookup(prints, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
+
+
+#: Wide fingerprints: their bits, the bits of a band, the radius within a band, and the least bytes of a word that counts.
+WIDE, BAND, BAND_RADIUS, LONG_WORD = 256, 32, 2, 6
+
+
+def wide_simhash(text: str | None) -> tuple[int, int, int, int]:
+    """256 bits of SimHash over a text's distinct long words (over all words and pairs of words if it has under 8 of them), as four signed longs.
+
+    Edits of single words move few of these features, and unlike texts share few; what is alike is then measured on
+    five-word shingles. Texts without words have 0.
+    """
+    words = (text or "").encode().lower().split()
+    found = {w for w in words if len(w) >= LONG_WORD}
+    if len(found) < 8:
+        found = {*words, *(a + b" " + b for a, b in zip(words, words[1:], strict=False))}
+    if not found:
+        return 0, 0, 0, 0
+    digest = xxhash.xxh128_digest
+    raw = np.frombuffer(b"".join([digest(w, 1) + digest(w, 2) for w in found]), np.uint8).reshape(-1, WIDE // 8)
+    counts = np.zeros(WIDE, np.int64)
+    for at in range(0, len(raw), 1 << 12):
+        counts += np.unpackbits(raw[at : at + (1 << 12)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return tuple(np.packbits(2 * counts > len(raw), bitorder="little").view(np.int64).tolist())
+
+
+def _jaccard(a: str | None, b: str | None, width: int) -> float:
+    x, y = set(shingles(a, width)), set(shingles(b, width))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _banded(prints: DataFrame) -> DataFrame:
+    """key and id: every variant within half the radius of every band."""
+    flips = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(BAND)))])
+    bands = F.array(*[F.struct(F.lit(b).cast("long").alias("band"), F.shiftrightunsigned(f"f{b // 2}", BAND * (b % 2)).bitwiseAND(F.lit((1 << BAND) - 1)).alias("bits")) for b in range(WIDE // BAND)])
+    cut = prints.select("id", F.explode(bands).alias("x")).select("id", "x.band", "x.bits", F.explode(flips).alias("flip"))
+    return cut.select("id", F.shiftleft(F.col("band"), BAND).bitwiseOR(F.col("bits").bitwiseXOR(F.col("flip"))).alias("key"))
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: int = 36) -> DataFrame:
+    """doc_id of every document with a group of others, and ``group``, the smallest doc_id of it.
+
+    Documents of equal text, or linked by a chain of texts whose sets of ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more, are a group. Candidates meet in a variant of one of eight bands of a wide SimHash; in a variant each
+    is compared to the member that meets most others anywhere (a group's common source, if it is there) and to its
+    neighbours in that order, so work grows with the rows, not with a group's pairs. Candidates over ``margin`` of 256 bits
+    apart are dropped, the others' texts are compared. Null texts are empty, and empty texts are copies of each other.
+    Rows without doc_id are in no group; rows of one doc_id are one document, other columns are not read.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*map(wide_simhash, batch.column(2).to_pylist()), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f, pa.int64()) for f in found)], ["doc_id", "hash", "f0", "f1", "f2", "f3"])
+
+    prints, _ = staged(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, f0 long, f1 long, f2 long, f3 long"), "wide")
+    same = ["hash", "f0", "f1", "f2", "f3"]
+    reps, _ = staged(prints.groupBy(*same).agg(F.min("doc_id").alias("id")), "wide-distinct")
+    # who meets anyone
+    order = Window.partitionBy("key").orderBy("id")
+    met = _banded(reps).withColumn("other", F.lag("id").over(order)).where("other is not null").select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    some, _ = staged(reps.join(met, "id"), "wide-met")
+    # how many each meets; the order within a variant follows
+    keys = _banded(some)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared, _ = staged(keys.join(sizes, "key"), "wide-shared")
+    rank = shared.groupBy("id").agg(F.sum("n").alias("meets"))
+    by = Window.partitionBy("key").orderBy(F.desc("meets"), "id")
+    placed = shared.select("key", "id").join(rank, "id").select("id", *[F.lag("id", k).over(by).alias(f"b{k}") for k in (1, 2, 3)], F.first("id").over(by).alias("b0"))
+    pairs = placed.select("id", F.explode(F.array("b0", "b1", "b2", "b3")).alias("b")).where("b is not null and b <> id").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    left = some.select(F.col("id").alias("a"), *[F.col(f"f{i}").alias(f"x{i}") for i in range(4)])
+    right = some.select(F.col("id").alias("b"), *[F.col(f"f{i}").alias(f"y{i}") for i in range(4)])
+    apart = sum(F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(4))
+    close, _ = staged(pairs.join(left, "a").join(right, "b").where(apart <= margin).select("a", "b"), "wide-close")
+    wanted = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts, _ = staged(docs.where(maybe_among(wanted, "doc_id")(F.col("doc_id"))).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "wide-texts")
+    both = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("u")), "b").select("a", "b", "t", "u")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array([_jaccard(t, u, width) >= similarity for t, u in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    roots = connected_components(both.mapInArrow(verify, "a long, b long"), "wide-links")
+    named = reps.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("group", F.coalesce("root", "id")).select(*same, "group")
+    members = prints.join(named.hint("merge"), same).select("doc_id", "group")
+    return members.join(members.where("doc_id <> group").select("group").distinct(), "group", "left_semi").distinct()
+
+
+def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs' rows without those of documents whose group (near_groups) has a smaller doc_id. All columns stay."""
+    gone, _ = staged(near_groups(docs, width, similarity).where("doc_id <> group").select(F.col("doc_id").alias("_gone")), "wide-gone")
+    maybe = docs.withColumn("_maybe", F.coalesce(maybe_among(gone, "_gone")(F.col("doc_id").cast("long")), F.lit(False)))
+    kept = maybe.where("_maybe").join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return maybe.where("not _maybe").unionByName(kept).drop("_maybe")
