@@ -23,6 +23,8 @@ def merged_links(links: DataFrame, merges: DataFrame, key: str, *unique: str) ->
     """links with ``key`` moved along merges (source_id, target_id), one row for each unique key; ``verified`` is true if any was."""
     moved = links.join(F.broadcast(merges), links[key] == merges["source_id"], "left").withColumn(key, F.coalesce("target_id", key)).drop("source_id", "target_id")
     rest = [c for c in links.columns if c not in unique]
+    if not rest:
+        return moved.select(*unique).distinct()
     aggs = [(F.max(c) if c == "verified" else F.min(c)).alias(c) for c in rest]
     return moved.groupBy(*unique).agg(*aggs)
 

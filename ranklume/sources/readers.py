@@ -55,8 +55,7 @@ def list_lines(lines: DataFrame) -> DataFrame:
 
 def imported_items(lists: DataFrame, document: str, key: str = "songs") -> DataFrame:
     """A row for each element of the JSON array ``key``: place from 0 and the fields of IMPORTED_ITEMS. Broken or missing arrays give none."""
-    kind = f"{key} {IMPORTED_ITEMS.simpleString()}"
-    return lists.select("*", F.posexplode(F.from_json(document, f"struct<{kind.replace(' ', ':', 1)}>")[key]).alias("idx", "item")).select(*[c for c in lists.columns if c != document], "idx", "item.*")
+    return lists.select("*", F.posexplode(F.from_json(document, f"struct<{key}:{IMPORTED_ITEMS}>")[key]).alias("idx", "item")).select(*[c for c in lists.columns if c != document], "idx", "item.*")
 
 
 def lucene_escaped(text: str) -> str:

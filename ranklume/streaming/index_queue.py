@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-REQUESTS = T.StructType.fromDDL("id long, parent_type string, parent_id long, action int, ts timestamp")
+REQUESTS = "id long, parent_type string, parent_id long, action int, ts timestamp"
 INDEX, UNINDEX = 0, 1
 
 
