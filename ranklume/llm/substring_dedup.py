@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,25 @@ def anchored(runs: Runs, n: int, window: int) -> tuple[np.ndarray, ...]:
     return first, count, grams[place], context
 
 
+#: Rows of a batch that a task hands back; what it holds at once is a few documents' rows more.
+ROWS = 50_000
+
+
+def _fields(lists: pa.ListArray, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The fields of each row's array of structs, as slices of flat arrays; empty for null rows."""
+    ends = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64))])
+    flat = lists.flatten()
+    fields = [flat.field(n).to_numpy(zero_copy_only=False) for n in names]
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield tuple(f[a:b] for f in fields)
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. count of each, one after another."""
+    ends = np.cumsum(count, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
+
+
 def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     """Columns of arrays, a list of one array for each document."""
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0), kind) for x, kind in columns.values()], list(columns))
@@ -121,27 +141,33 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
 def windows(rows: DataFrame, window: int) -> DataFrame:
     """rows (doc_id, text, row, spans of runs): a row for each window of the runs, by the anchor's and the window's hash."""
 
+    names = ("row", "doc_id", "first", "anchor", "window")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "doc_id", "first", "anchor", "window")}
-            for doc_id, text, row, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                runs = Runs(hashed(words_of(text)))
-                first = np.concatenate([np.arange(s["first"], s["first"] + s["count"]) for s in spans])
-                anchor = np.concatenate([np.full(s["count"], s["anchor"]) for s in spans])
-                hit = runs(first, first + window).view(np.int64)
-                for k, v in zip(out, (np.full(len(first), row), np.full(len(first), doc_id), first.astype(np.int32), anchor, hit), strict=True):
+            out: dict[str, list] = {k: [] for k in names}
+            held = 0
+            for doc_id, text, row, (start, count, anchor) in zip(*(batch.column(i).to_pylist() for i in range(3)), _fields(batch.column(3), "first", "count", "anchor"), strict=True):
+                first = spread(start, count)
+                hit = Runs(hashed(words_of(text)))(first, first + window).view(np.int64)
+                for k, v in zip(names, (np.full(len(first), row), np.full(len(first), doc_id), first.astype(np.int32), np.repeat(anchor, count), hit), strict=True):
                     out[k].append(v)
+                held += len(first)
+                if held >= ROWS:
+                    yield _batch({k: (v, pa.int32() if k == "first" else pa.int64()) for k, v in out.items()})
+                    out, held = {k: [] for k in names}, 0
             yield _batch({k: (v, pa.int32() if k == "first" else pa.int64()) for k, v in out.items()})
 
     return rows.mapInArrow(run, "row long, doc_id long, first int, anchor long, window long")
 
 
-def kept_words(words: list[bytes], spans: list[tuple[int, int]], window: int) -> list[bytes]:
+def kept_words(words: list[bytes], first: np.ndarray, count: np.ndarray, window: int) -> list[bytes]:
     """Words that no window of the spans (first window, number of windows) covers."""
+    if not len(first):
+        return words
     edge = np.zeros(len(words) + 1, np.int64)
-    for first, count in spans:
-        edge[first] += 1
-        edge[first + count + window - 1] -= 1
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + count + window - 1, -1)
     covered = np.cumsum(edge[:-1]) > 0
     return [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
 
@@ -185,9 +211,9 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, cut in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, (first, count) in zip(*(batch.column(i).to_pylist() for i in range(2)), _fields(batch.column(2), "first", "count"), strict=True):
                 words = words_of(text)
-                kept = kept_words(words, [(s["first"], s["count"]) for s in cut], window) if cut else words
+                kept = kept_words(words, first, count, window)
                 line = b" ".join(kept)
                 out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest(), line.decode() if texts else None))
             columns = list(zip(*out, strict=True)) or [[] for _ in _ARROW]
@@ -284,9 +310,9 @@ def remove_reference_spans(docs: DataFrame, references: DataFrame, window: int =
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, (first, count) in zip(*(batch.column(i).to_pylist() for i in range(2)), _fields(batch.column(2), "first", "count"), strict=True):
                 words = words_of(text)
-                kept = kept_words(words, [(s["first"], s["count"]) for s in spans], window) if spans else words
+                kept = kept_words(words, first, count, window)
                 out.append((doc_id, len(words), len(words) - len(kept), b" ".join(kept).decode()))
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
