@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,22 +23,25 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 WORDS = re.compile(r"[^\W_]+")
-#: BM25's saturation and length normalisation; postings in a block.
-K1, B, BLOCK = 1.2, 0.75, 16
+#: BM25's saturation and length normalisation; the most blocks of items in a shard, and the least items in a block.
+K1, B, BLOCKS, LEAST = 1.2, 0.75, 128, 2
+#: Half passages whose bounds are held at once.
+AT_ONCE = 1024
 #: Words of a shingle.
 SHINGLE = 5
 
 
 @dataclass
 class Index:
-    """Items' ids and parts; for each term its postings (items, weights) and the largest weight of each block and of all."""
+    """Items' ids and parts; for each term its postings (items, weights), and the largest weight in each block of ``block`` items."""
 
     items: list[int]
     questions: list[frozenset[tuple[str, ...]]]
     answers: list[frozenset[tuple[str, ...]]]
     lengths: list[int]
     terms: dict[str, int]
-    postings: list[tuple[list[int], list[float], list[float]]]
+    postings: list[tuple[list[int], list[float]]]
+    block: int
     most: np.ndarray
 
 
@@ -84,80 +88,88 @@ def index(items: list[tuple[int, str | None]]) -> Index:
         for w, x in weights.items():
             held[terms[w]][0].append(d)
             held[terms[w]][1].append(x / total)
-    postings = [(ids, ws, [max(ws[i : i + BLOCK]) for i in range(0, len(ws), BLOCK)]) for ids, ws in held]
+    block = max(LEAST, -(-len(known) // BLOCKS))
+    most = np.zeros((len(terms) + 1, -(-len(known) // block)), np.float32)
+    for k, (ids, ws) in enumerate(held):
+        for i, w in zip(ids, ws, strict=True):
+            most[k, i // block] = max(most[k, i // block], w)
     split = [parts(t) for _, t in known]
-    return Index([i for i, _ in known], [shingles(q) for q, _ in split], [shingles(a) for _, a in split], sizes, terms, postings, np.array([max(ws, default=0.0) for _, ws in held]))
+    return Index([i for i, _ in known], [shingles(q) for q, _ in split], [shingles(a) for _, a in split], sizes, terms, held, block, most)
 
 
-def search(terms: list[int], found: Index, threshold: float) -> list[tuple[int, float]]:
-    """Items whose score for these distinct terms is at least ``threshold``, by block-max WAND."""
-    cursors = [[found.postings[t], 0, float(found.most[t])] for t in terms if found.postings[t][0]]
+def search(terms: list[int], found: Index, k: int, threshold: float) -> list[tuple[int, float]]:
+    """Items of block k whose score for these distinct terms is at least ``threshold``, by WAND over the block's maxima.
+
+    Cursors stand in order of their next item; the pivot is the first where the maxima so far reach the threshold, so
+    no item before it can. Only a pivot that the first cursor has reached too is scored.
+    """
+    low, high = k * found.block, (k + 1) * found.block
+    cursors = []
+    for t in terms:
+        ids, weights = found.postings[t]
+        at, end = bisect_left(ids, low), bisect_left(ids, high)
+        if at < end:
+            cursors.append([ids[at], at, end, ids, weights, float(found.most[t, k])])
     out = []
     while cursors:
-        cursors.sort(key=lambda c: c[0][0][c[1]])
-        bound, pivot = 0.0, -1
-        for k, c in enumerate(cursors):
-            bound += c[2]
-            if bound >= threshold:
-                pivot = k
+        cursors.sort(key=lambda c: c[0])
+        bound, pivot = 0.0, None
+        for c in cursors:
+            bound += c[5]
+            if bound >= threshold - 1e-6:
+                pivot = c[0]
                 break
-        if pivot < 0:
+        if pivot is None:
             break
-        item = cursors[pivot][0][0][cursors[pivot][1]]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0][0][cursors[pivot + 1][1]] == item:
-            pivot += 1
-        # blocks that hold the pivot's item: if their maxima cannot reach the threshold, all move past the shortest of them
-        block_bound, leap = 0.0, None
-        for c in cursors[: pivot + 1]:
-            ids, _, maxima = c[0]
-            at = c[1]
-            while (at // BLOCK + 1) * BLOCK < len(ids) and ids[min(len(ids), (at // BLOCK + 1) * BLOCK) - 1] < item:
-                at = (at // BLOCK + 1) * BLOCK
-            block_bound += maxima[at // BLOCK]
-            last = ids[min(len(ids), (at // BLOCK + 1) * BLOCK) - 1]
-            leap = last if leap is None else min(leap, last)
-        if block_bound >= threshold and cursors[0][0][0][cursors[0][1]] == item:
-            score = 0.0
-            for c in cursors[: pivot + 1]:
-                score += c[0][1][c[1]]
+        score = 0.0
+        scored = cursors[0][0] == pivot
+        for c in cursors:
+            if c[0] > pivot:
+                break
+            if scored:
+                score += c[4][c[1]]
                 c[1] += 1
-            if score >= threshold:
-                out.append((item, score))
-        else:
-            target = item if block_bound >= threshold else max(item, leap) + 1
-            if pivot + 1 < len(cursors) and target > item:
-                target = min(target, max(item + 1, cursors[pivot + 1][0][0][cursors[pivot + 1][1]]))
-            for c in cursors[: pivot + 1]:
-                ids, at = c[0][0], c[1]
-                while at < len(ids) and ids[at] < target:
-                    at += 1
-                c[1] = at
-        cursors = [c for c in cursors if c[1] < len(c[0][0])]
+            else:
+                c[1] = bisect_left(c[3], pivot, c[1], c[2])
+            c[0] = c[3][c[1]] if c[1] < c[2] else high
+        if scored and score >= threshold - 1e-9:
+            out.append((pivot, score))
+        cursors = [c for c in cursors if c[0] < high]
     return out
 
 
 def leaks(text: str | None, found: Index, threshold: float, size: int, whole: float, part: float) -> list[tuple[int, float, float, float, int]]:
     """(item, share of BM25, question overlap, answer overlap, first word) of the items that the whole text holds.
 
-    Passages of ``size`` words start at every half of that. One is searched unless the sum of its terms' largest weights,
-    repeats included, is below the threshold already.
+    Passages of ``size`` words start at every half of that. The maxima of a half's distinct terms are summed for every
+    block of items; where two neighbouring halves' sums stay below the threshold, no item of the block can be in their passage.
     """
     said = words(text)
     n = len(said)
     if not n or not found.items:
         return []
-    get = found.terms.get
+    get, half = found.terms.get, size // 2
     ids = np.fromiter((get(w, 0) for w in said), np.int64, n)
-    sums = np.concatenate([[0.0], np.cumsum(found.most[ids])])
-    step = size // 2
-    starts = np.arange(0, max(1, n - step), step)
-    ends = np.minimum(starts + size, n)
+    last = (n - 1) // half
     best: dict[int, tuple[float, int]] = {}
-    for k in np.flatnonzero(sums[ends] - sums[starts] >= threshold).tolist():
-        a, b = int(starts[k]), int(ends[k])
-        for item, score in search([t for t in np.unique(ids[a:b]).tolist() if t], found, threshold):
-            if score > best.get(item, (0.0, 0))[0]:
-                best[item] = (score, a)
+    for at in range(0, max(1, last), AT_ONCE):
+        low, high = at * half, min(n, (at + AT_ONCE + 1) * half)
+        own = ids[low:high]
+        key = np.unique((np.arange(len(own)) // half * len(found.most) + own)[own > 0])
+        if not len(key):
+            continue
+        segment, term = np.divmod(key, len(found.most))
+        count = (len(own) - 1) // half + 1
+        places = np.searchsorted(segment, np.arange(count + 2))
+        begun = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+        bounds = np.zeros((count, found.most.shape[1]), np.float32)
+        bounds[segment[begun]] = np.add.reduceat(found.most[term], begun, axis=0)
+        both = bounds[:-1] + bounds[1:] if count > 1 else bounds
+        for i, k in zip(*(x.tolist() for x in np.nonzero(both >= threshold - 1e-5)), strict=True):
+            near = np.unique(term[places[i] : places[min(i + 2, count)]])
+            for item, score in search(near[found.most[near, k] > 0].tolist(), found, k, threshold):
+                if score > best.get(item, (0.0, 0))[0]:
+                    best[item] = (score, (at + i) * half)
     out = []
     for item, (score, a) in sorted(best.items()):
         reach = found.lengths[item] + SHINGLE
