@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,14 +169,17 @@ def packed(histogram: dict[int, int], size: int = 2048, rounds: int = 400, rate:
             log_weight = np.clip(-rate * np.sqrt(t + 1) ** 0.5 * (cover - 1), -12, 4)
         # the mixture is scaled so that no length is packed more often than it occurs, and rounded down
         scale = min(wanted[j] / load[j] for j in np.flatnonzero(load))
-        rest = wanted.copy()
+        rest, floored = wanted.copy(), []
         for key, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
             n = int(min(times * scale, min(rest[j] // k for j, k in key)))
             if n and sum(lengths[j] * k for j, k in key) >= 0.999 * size:
-                configurations.append(({int(lengths[j]): k for j, k in key}, n))
+                floored.append(({int(lengths[j]): k for j, k in key}, n))
                 for j, k in key:
                     rest[j] -= n * k
-        configurations += _rest({int(n): int(c) for n, c in zip(lengths, rest, strict=True) if c}, size)
+        floored += _rest({int(n): int(c) for n, c in zip(lengths, rest, strict=True) if c}, size)
+        # with a few pieces of each length all fractions may be better rounded down to nothing
+        unmixed = _best_fit(left, size)
+        configurations += min(floored, unmixed, key=lambda way: sum(n for _, n in way))
     merged: dict[tuple, int] = {}
     for found, n in configurations:
         key = tuple(sorted(found.items()))
@@ -184,17 +188,21 @@ def packed(histogram: dict[int, int], size: int = 2048, rounds: int = 400, rate:
 
 
 def _rest(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
-    """What is left, filled greedily: the longest piece, then as full as a subset-sum over the lengths left allows; as often as they last."""
+    """What is left, packed as well as the better of two greedy ways does it."""
+    ways = [_fullest_first(dict(left), size), _best_fit(left, size)]
+    return min(ways, key=lambda way: sum(n for _, n in way))
+
+
+def _fullest_first(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """The longest piece, then as full as a subset-sum over the lengths left allows; as often as they last."""
     out = []
     while left:
-        lengths = np.array(sorted(left), int)
-        first = int(lengths[-1])
+        first = max(left)
         found = {first: 1}
-        room = size - first
-        if room:
+        if size > first:
             spare = dict(left)
             spare[first] -= 1
-            for n, k in _subset(spare, room).items():
+            for n, k in _subset(spare, size - first).items():
                 found[n] = found.get(n, 0) + k
         times = min(left[n] // k for n, k in found.items())
         for n, k in found.items():
@@ -205,33 +213,81 @@ def _rest(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
     return out
 
 
+def _best_fit(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing, whole groups of like sequences at a time: the histogram's counts don't matter for its steps."""
+    room: dict[int, list[tuple[tuple, int]]] = {}  # by what still fits: contents and number of sequences
+    order: list[int] = []
+
+    def put(space: int, found: tuple, n: int) -> None:
+        if space not in room:
+            room[space] = []
+            insort(order, space)
+        room[space].append((found, n))
+
+    for n in sorted(left, reverse=True):
+        count = left[n]
+        while count:
+            i = bisect_left(order, n)
+            if i == len(order):
+                fit = size // n
+                if count >= fit:
+                    put(size - fit * n, ((n, fit),), count // fit)
+                    count %= fit
+                else:
+                    put(size - count * n, ((n, count),), 1)
+                    count = 0
+                continue
+            space = order[i]
+            found, have = room[space].pop()
+            if not room[space]:
+                del room[space], order[i]
+            fit = space // n
+            use = min(have, count // fit)
+            if use < have:
+                put(space, found, have - use - (1 if count % fit and use * fit < count and use < have else 0))
+            if use:
+                put(space - fit * n, (*found, (n, fit)), use)
+                count -= use * fit
+            if use < have and count % fit:
+                put(space - count % fit * n, (*found, (n, count % fit)), 1)
+                count = 0
+            elif use < have:
+                count = 0
+    out = []
+    for held in room.values():
+        for found, times in held:
+            if times:
+                both: dict[int, int] = {}
+                for n, k in found:
+                    both[n] = both.get(n, 0) + k
+                out.append((both, times))
+    return out
+
+
 def _subset(spare: dict[int, int], room: int) -> dict[int, int]:
     """Pieces of the lengths in spare, no more than there are, that fill ``room`` as far as possible; few long ones rather than many short ones."""
-    how = np.full(room + 1, -1)  # the length that first reached a sum
+    how = np.full(room + 1, -1)  # the tokens that first reached a sum, and the length they are pieces of
+    of = np.full(room + 1, -1)
     reached = np.zeros(room + 1, bool)
     reached[0] = True
     for n in sorted((n for n, c in spare.items() if c and n <= room), reverse=True):
-        times = min(spare[n], room // n)
-        if times < 1:
-            continue
-        new, step = reached.copy(), reached
-        for _ in range(min(times, 8)):
+        times, step = min(spare[n], room // n), 1
+        while times > 0:  # 1, 2, 4, .. and the rest make every number of pieces
+            k = min(step, times)
             shifted = np.zeros(room + 1, bool)
-            shifted[n:] = step[:-n] if n else step
-            step = shifted & ~new
-            how[step] = n
-            if not step.any():
-                break
-            new |= step
-        reached = new
+            shifted[k * n :] = reached[: room + 1 - k * n]
+            new = shifted & ~reached
+            how[new], of[new] = k * n, n
+            reached |= new
+            times, step = times - k, 2 * step
         if reached[room]:
             break
     at = int(np.flatnonzero(reached)[-1])
     found: dict[int, int] = {}
     while at:
-        n = int(how[at])
-        found[n] = found.get(n, 0) + 1
-        at -= n
+        n = int(of[at])
+        found[n] = found.get(n, 0) + int(how[at]) // n
+        at -= int(how[at])
     return found
 
 
