@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import Criteria, page_window
 from ..functions.text import edge_grams, folded, search_text, terms
 
-#: Boosts of a general book search and of its completion; fields of the other kinds are boosted alike.
-BOOK_BOOSTS = {"phrase": 10.0, "keyword": 9.0, "all": 8.0, "alternates": 7.0, "creator_phrase": 6.0, "creator_all": 5.0, "subtitle": 4.0}
+
+
+@dataclass(frozen=True)
+class Kind:
+    """Fields of a kind of document and the boosts of the clauses that a general search has on them."""
+
+    title: str
+    boosts: dict[str, float]
+    alternates: str | None = None
+    creators: str | None = None
+    subtitle: str | None = None
+
+
+#: Fields and boosts of general searches, and boosts of completions.
+WORK = {"phrase": 10.0, "keyword": 9.0, "all": 8.0, "creator_phrase": 6.0, "creator_all": 5.0}
+KINDS = {
+    "Books::Book": Kind("title", WORK | {"alternates": 7.0, "subtitle": 4.0}, "alternate_titles", "author_names", "subtitle"),
+    "Books::Author": Kind("name", {"phrase": 10.0, "keyword": 8.0, "all": 5.0, "alternates": 3.0}, "alternate_names"),
+    "Music::Artist": Kind("name", {"phrase": 10.0, "keyword": 8.0, "all": 5.0}),
+    "Music::Album": Kind("title", WORK, creators="artist_names"),
+    "Music::Song": Kind("title", WORK, creators="artist_names"),
+    "Games::Game": Kind("title", WORK, creators="developer_names"),
+}
 COMPLETION_BOOSTS = {"grams": 10.0, "phrase": 8.0, "keyword": 6.0}
 K1, B = 1.2, 0.75
 
@@ -108,23 +131,38 @@ def _all(text: Column, query: Column) -> Column:
     return F.coalesce((F.size(terms(query)) > 0) & (F.size(F.array_except(terms(query), terms(text))) == 0), F.lit(False))
 
 
-def general_matches(documents: DataFrame, text: str, creators: str | None = None) -> DataFrame:
-    """Documents that meet at least one clause of a general search, with the sum of the clauses' boosts (``score``).
+def general_matches(documents: DataFrame, text: str, kind: str = "Books::Book") -> DataFrame:
+    """Documents that meet at least one clause of the kind's general search, with the sum of the clauses' boosts (``score``).
 
     The set of matches is what a search engine would give; its scores depend on its shards, so these are of our own.
+    Fields that the documents lack have no clause.
     """
-    query = search_text(F.lit(text))
-    clauses = {"phrase": _phrase(F.col("title"), query), "keyword": folded(F.col("title")) == query, "all": _all(F.col("title"), query)}
-    if creators:
-        joined = F.array_join(creators, " ")
-        clauses |= {"creator_phrase": _some_of(creators, query, _phrase), "creator_all": _all(joined, query)}
-    return _scored(documents, clauses, BOOK_BOOSTS)
+    fields, query = KINDS[kind], search_text(F.lit(text))
+    title = F.col(fields.title)
+    has = lambda name: name is not None and name in documents.columns
+    clauses = {"phrase": _phrase(title, query), "keyword": folded(title) == query, "all": _all(title, query)}
+    if has(fields.alternates):
+        clauses["alternates"] = F.coalesce(F.exists(fields.alternates, lambda x: F.arrays_overlap(terms(x), terms(query))), F.lit(False))
+    if has(fields.creators):
+        clauses |= {"creator_phrase": _some_of(fields.creators, query, _phrase), "creator_all": _all(F.array_join(fields.creators, " "), query)}
+    if has(fields.subtitle):
+        clauses["subtitle"] = _all(F.col(fields.subtitle), query)
+    return _scored(documents, clauses, fields.boosts)
 
 
 def _some_of(items: str, query: Column, test) -> Column:
     return F.coalesce(F.exists(items, lambda x: test(x, query)), F.lit(False))
 
 
+def suggestions(documents: dict[str, DataFrame], item_type: str, text: str, size: int = 10) -> DataFrame:
+    """Rows (value, text) for a box that completes items of the type; blank text and types without documents have none."""
+    if item_type not in KINDS or item_type not in documents:
+        raise ValueError(f"{item_type} has no documents to search")
+    field = KINDS[item_type].title
+    found = documents[item_type].withColumn("title", F.col(field))
+    return completions(found if text.strip() else found.where(F.lit(False)), text, size).select(F.col("id").alias("value"), F.col("title").alias("text"))
+
+
 def completions(documents: DataFrame, text: str, size: int = 20) -> DataFrame:
     """The best completions of what is typed: by beginnings of words, phrase, or the whole title."""
     query = search_text(F.lit(text))

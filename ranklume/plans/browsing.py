@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import browse
+from ..operators import browse, ranking
 from ..operators.browse import Choice, Shelf
 from . import plan
-from .rankings import WEIGHT, _weights
+from .rankings import MULTIPLIER, WEIGHT, _weights
 
 
 def shelf(c) -> Shelf:
@@ -77,10 +77,18 @@ def lists_newest(c) -> DataFrame:
     return browse.lists_page(c.lists, _weights(c), None, "newest").limit(100)
 
 
-@plan("SELECT a.id, a.name, COUNT(*) AS books, MIN(r.rank) AS best FROM authors a JOIN book_authors b ON b.author_id = a.id JOIN ranked_items r ON r.item_id = b.book_id GROUP BY a.id, a.name")
+@plan(f"""
+WITH sums AS (
+  SELECT ba.author_id, COUNT(*) AS books, SUM(r.score) AS total
+  FROM ranked_items r JOIN book_authors ba ON ba.book_id = r.item_id AND ba.role = 0
+  JOIN authors a ON a.id = ba.author_id AND NOT a.exclude_from_rankings WHERE r.score > 0 GROUP BY ba.author_id),
+scored AS (SELECT author_id, CAST(ROUND(total * {MULTIPLIER}, 2) AS DECIMAL(20,2)) AS score FROM sums),
+placed AS (SELECT author_id, CAST(ROW_NUMBER() OVER (ORDER BY score DESC, author_id) AS INT) AS rank FROM scored WHERE score > 0)
+SELECT a.id, a.name, p.rank FROM placed p JOIN authors a ON a.id = p.author_id ORDER BY p.rank LIMIT 50
+""")
 def ranked_authors(c) -> DataFrame:
-    links = c.book_authors.join(c.ranked_items, F.col("book_id") == F.col("item_id"))
-    return links.join(c.authors.select(F.col("id").alias("author_id"), "name"), "author_id").groupBy(F.col("author_id").alias("id"), "name").agg(F.count("*").alias("books"), F.min("rank").alias("best"))
+    found = ranking.author_ranking(c.ranked_items, c.book_authors, c.authors)
+    return found.join(c.authors.select(F.col("id").alias("author_id"), "name"), "author_id").orderBy("rank").limit(50).select(F.col("author_id").alias("id"), "name", "rank")
 
 
 @plan("SELECT b.id, b.title, b.first_published_year, r.rank FROM book_authors a JOIN books b ON b.id = a.book_id LEFT JOIN ranked_items r ON r.item_id = b.id WHERE a.author_id = 7 AND a.role = 0")

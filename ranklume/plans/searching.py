@@ -51,6 +51,23 @@ def general_search(c) -> DataFrame:
     return search.general_matches(c.book_documents, "Ring, ‘red’!").select("id", "title")
 
 
+@plan("SELECT id, name, 15.0 AS score FROM authors WHERE id = 42")
+def general_search_authors(c) -> DataFrame:
+    """The name as a phrase and all of its words; the mark in it keeps it from being equal."""
+    return search.general_matches(c.authors, "supplier 000000042!", "Books::Author").select("id", "name", "score")
+
+
+@plan("SELECT b.id FROM books b WHERE b.title LIKE '%bolt%' OR b.id IN (SELECT song_id FROM song_artists WHERE artist_id = 11)")
+def general_search_creators(c) -> DataFrame:
+    names = c.song_artists.groupBy(F.col("song_id").alias("id")).agg(F.collect_set(F.when(F.col("artist_id") == 11, "The Bolt").otherwise("X")).alias("artist_names"))
+    return search.general_matches(c.books.join(names, "id", "left"), "bolt", "Music::Album").select("id")
+
+
+@plan("SELECT id AS value, name AS text FROM authors ORDER BY id LIMIT 10")
+def autocomplete_types(c) -> DataFrame:
+    return search.suggestions({"Books::Author": c.authors}, "Books::Author", "Suppl")
+
+
 @plan("SELECT id, title FROM (SELECT *, CASE WHEN title LIKE 'wid%' OR title LIKE '% wid%' THEN 1 END AS hit FROM books) b WHERE hit = 1 ORDER BY id LIMIT 20")
 def autocomplete(c) -> DataFrame:
     return search.completions(c.book_documents, "WID").select("id", "title")

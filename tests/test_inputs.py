@@ -103,3 +103,11 @@ def test_reordering_needs_a_permutation(spark):
     orders = spark.createDataFrame([(1, [7, 5, 6]), (2, [8, 9])], "user_list_id long, ids array<long>")
     assert sorted(tuple(r) for r in lists.reordered(items, orders).select("user_list_id", "position", "id").collect()) == [(1, 1, 7), (1, 2, 5), (1, 3, 6)]
     assert [r[0] for r in lists.invalid_orders(items, orders).collect()] == [2]
+
+
+def test_recomputation_order():
+    from ranklume.streaming.recompute import due
+
+    got = due("penalties")
+    assert got.index("list_weight") < got.index("item_ranking") < min(got.index("author_ranking"), got.index("reindex_ranked_fields"))
+    assert due("reviews") == ["review_summary"] and due("nothing") == [] and "item_ranking" not in due("book_authors")
