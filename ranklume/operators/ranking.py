@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,20 +63,29 @@ def list_weight(lists: DataFrame, penalties: DataFrame, list_penalties: DataFram
     return x.select("id", F.round(total, 6).alias("penalty_percentage"), weight.alias("weight"), details.alias("details"))
 
 
-def ranked(scores: DataFrame, score: str = "score", key: str = "item_id", rank: str = "rank") -> DataFrame:
-    """Sequential ranks 1..N by score, then key, without one task for all rows.
+def ranked(scores: DataFrame, score: str = "score", key: str = "item_id", rank: str = "rank", parts: int = 32) -> DataFrame:
+    """Sequential ranks 1..N by score, then key, without one task for all rows; null scores are last.
 
-    Rows are range-partitioned and ranked apart; what stands before a partition is a prefix sum over as many rows as there
-    are partitions. The order is total, so repeated evaluation gives equal ranks.
+    Approximate quantiles of the scores (the only thing the driver asks for) cut the rows into ranges; a score that is a cut
+    itself may have very many rows and is cut again by key. Ranges are ranked apart, and what stands before one is a prefix
+    sum over as many rows as there are ranges. The cuts are constants, so every evaluation deals rows alike.
+    The scores, a row for each item, are read three times and kept by the executors until the session's cache is cleared.
     """
-    spark = scores.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = scores.repartitionByRange(parts, F.desc_nulls_last(score), F.asc(key)).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(F.desc_nulls_last(score), F.asc(key))
-    numbered = dealt.withColumn("_n", F.row_number().over(within))
-    sizes = numbered.groupBy("_part").agg(F.max("_n").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return numbered.join(F.broadcast(before), "_part").withColumn(rank, (F.col("_n") + F.col("_before")).cast("int")).drop("_part", "_n", "_before")
+    scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
+    at, of = F.col(score).cast("double"), F.col(key).cast("double")
+    shares = [i / parts for i in range(1, parts)]
+    values, keys = scores.select(at.alias("s"), of.alias("k")).approxQuantile(["s", "k"], shares, 0.2 / parts)
+    if not values:
+        return scores.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
+    cuts = F.array(*[F.lit(float(v)) for v in sorted(set(values))])
+    above = F.size(F.filter(cuts, lambda c: c > at)) + F.size(F.filter(cuts, lambda c: c >= at))
+    by_key = F.size(F.filter(F.array(*[F.lit(float(k)) for k in sorted(set(keys))] or [F.lit(0.0)]), lambda c: c <= of))
+    dealt = scores.withColumn("_part", F.when(at.isNull(), 10 * parts).otherwise(above)).withColumn("_sub", F.when(F.array_contains(cuts, at), by_key).otherwise(0))
+    within = Window.partitionBy("_part", "_sub").orderBy(F.desc_nulls_last(score), F.asc(key))
+    sizes = dealt.groupBy("_part", "_sub").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_sub", "_before")
+    numbered = dealt.withColumn("_n", F.row_number().over(within)).join(F.broadcast(before), ["_part", "_sub"])
+    return numbered.withColumn(rank, (F.col("_n") + F.col("_before")).cast("int")).drop("_part", "_sub", "_n", "_before")
 
 
 def item_scores(lists: DataFrame, items: DataFrame, weights: DataFrame, item_years: DataFrame, *, max_age: int | None = 50, max_percentage: int | None = 80, exponent: float = 3.0, bonus: float = 3.0, median: DataFrame | None = None) -> DataFrame:

@@ -60,11 +60,12 @@ def test_book_length(spark, pages, words, band):
     assert one(spark, scoring.book_length(F.lit(pages).cast("string"), F.lit(words).cast("int"))) == band
 
 
-def test_ranks_are_sequential(spark):
-    got = ranking.ranked(spark.range(5000).selectExpr("id as item_id", "cast(id % 7 as double) as score")).collect()
-    assert sorted(r["rank"] for r in got) == list(range(1, 5001))
-    want = sorted(got, key=lambda r: (-r["score"], r["item_id"]))
-    assert [r["rank"] for r in want] == list(range(1, 5001))
+@pytest.mark.parametrize("score", ["cast(id % 7 as double)", "cast(if(id % 3 = 0, 5, id % 101) as decimal(20,2))", "if(id % 11 = 0, null, cast(id as double))", "cast(null as double)", "1.0"])
+def test_ranks_are_sequential(spark, score):
+    got = ranking.ranked(spark.range(3000).selectExpr("id as item_id", f"{score} as score").repartition(7)).collect()
+    want = sorted(got, key=lambda r: (r["score"] is None, -(r["score"] or 0), r["item_id"]))
+    assert [r["rank"] for r in want] == list(range(1, 3001))
+    assert ranking.ranked(spark.range(0).selectExpr("id as item_id", "1.0 as score")).count() == 0
 
 
 def test_kernel_properties(spark):
