@@ -42,9 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The rows, written to the shared folder and read again: lineage ends there. Also the path, for dropped()."""
+    """The rows, written to the shared folder and read again: lineage ends there. Also the path, for dropped().
+
+    An application's tables are in one folder of its own, which can go when the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ranklume-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -78,28 +81,30 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
 
     Alternates large and small stars until the links are stars about the smallest nodes, which takes
     rounds in the logarithm of a chain's length. Minima are pre-aggregated and lookups salted, so a node
-    with very many links is no hot task. Each round is a table in the shared folder; only its row count and
-    checksum reach the driver. Self-links and null ends are ignored; nodes without a link do not appear.
+    with very many links is no hot task. Each round is a table in the shared folder; the driver learns only
+    whether all are stars. Self-links and null ends are ignored; nodes without a link do not appear.
     """
     spark = edges.sparkSession
     found = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links, path = staged(found, label)
-    mark = _mark(links)
-    while mark[0]:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = salted_lookup(both.where("v > u"), low, "u", "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large, at = staged(large, label)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = salted_lookup(large, low, "u", "v", "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links, new = staged(moved.unionByName(low.withColumnRenamed("m", "v")).distinct(), label)
-        dropped(spark, path, at)
-        path, before, mark = new, mark, _mark(links)
-        if mark == before:
-            break
+        dropped(spark, path)
+        path = new
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether each node has one lower neighbour at most, which has none: then it is the root, and all are found."""
+    ends = links.select("u", F.lit(1).alias("up")).unionByName(links.select(F.col("v").alias("u"), F.lit(0).alias("up"))).groupBy("u").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    return ends.where("ups > 1 or ups = 1 and n > 1").isEmpty()
+
+
 #: Bits of a filter of ids, which has this size however many ids there are.
 FILTER_BITS = 1 << 25
 
@@ -125,9 +130,4 @@ def maybe_among(ids: DataFrame, key: str) -> Callable[[F.Column], F.Column]:
     return lambda column: test(F.xxhash64(column))
 
 
-def _mark(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
-
-
 __all__ = ["T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "maybe_among", "salted_lookup", "shared_folder", "small_batches", "staged", "table"]

@@ -135,10 +135,10 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin
     """doc_id of every document with a group of others, and ``group``, the smallest doc_id of it.
 
     Documents of equal text, or linked by a chain of texts whose sets of ``width``-word shingles have a Jaccard similarity of
-    ``similarity`` or more, are a group. Candidates meet in a variant of one of eight bands of a wide SimHash; in a variant each
-    is compared to the member that meets most others anywhere (a group's common source, if it is there) and to its
-    neighbours in that order, so work grows with the rows, not with a group's pairs. Candidates over ``margin`` of 256 bits
-    apart are dropped, the others' texts are compared. Null texts are empty, and empty texts are copies of each other.
+    ``similarity`` or more, are a group. Candidates meet in a variant of one of eight bands of a wide SimHash. In a variant each
+    is compared to the member that meets most others anywhere (a group's common source, if it is there), then to those
+    near it that this has not put into its group, so work grows with the rows, not with a group's pairs. Candidates over
+    ``margin`` of 256 bits apart are dropped, the others' texts are compared. Null texts are empty, and empty texts are copies of each other.
     Rows without doc_id are in no group; rows of one doc_id are one document, other columns are not read.
     """
     spark = docs.sparkSession
@@ -152,7 +152,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin
 
     prints, _ = staged(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, f0 long, f1 long, f2 long, f3 long"), "wide")
     same = ["hash", "f0", "f1", "f2", "f3"]
-    reps, _ = staged(prints.groupBy(*same).agg(F.min("doc_id").alias("id")), "wide-distinct")
+    reps = prints.groupBy(*same).agg(F.min("doc_id").alias("id"))
     # who meets anyone
     order = Window.partitionBy("key").orderBy("id")
     met = _banded(reps).withColumn("other", F.lag("id").over(order)).where("other is not null").select(F.explode(F.array("id", "other")).alias("id")).distinct()
@@ -161,12 +161,28 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin
     keys = _banded(some)
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared, _ = staged(keys.join(sizes, "key"), "wide-shared")
-    rank = shared.groupBy("id").agg(F.sum("n").alias("meets"))
+    shared = shared.join(shared.groupBy("id").agg(F.sum("n").alias("meets")), "id")
+    # first each with its variant's most central member, then neighbours that are not in one group yet
     by = Window.partitionBy("key").orderBy(F.desc("meets"), "id")
-    placed = shared.select("key", "id").join(rank, "id").select("id", *[F.lag("id", k).over(by).alias(f"b{k}") for k in (1, 2, 3)], F.first("id").over(by).alias("b0"))
-    pairs = placed.select("id", F.explode(F.array("b0", "b1", "b2", "b3")).alias("b")).where("b is not null and b <> id").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    left = some.select(F.col("id").alias("a"), *[F.col(f"f{i}").alias(f"x{i}") for i in range(4)])
-    right = some.select(F.col("id").alias("b"), *[F.col(f"f{i}").alias(f"y{i}") for i in range(4)])
+    led = _alike(docs, some, shared.select("id", F.first("id").over(by).alias("b")), width, similarity, margin)
+    led, _ = staged(led, "wide-led")
+    group = connected_components(led, "wide-led-links")
+    grouped = shared.join(group.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    beside = Window.partitionBy("key").orderBy("root", F.desc("meets"), "id")
+    next_ = [F.when(F.lag("root", k).over(beside) != F.col("root"), F.lag("id", k).over(beside)) for k in (1, 2, 3)]
+    placed = grouped.select("id", F.array_compact(F.array(*next_)).alias("others")).where(F.size("others") > 0).select("id", F.explode("others").alias("b"))
+    more = _alike(docs, some, placed, width, similarity, margin)
+    roots = connected_components(led.unionByName(more), "wide-links")
+    named = reps.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("group", F.coalesce("root", "id")).select(*same, "group")
+    members = prints.join(named.hint("merge"), same).select("doc_id", "group")
+    return members.join(members.where("doc_id <> group").select("group").distinct(), "group", "left_semi").distinct()
+
+
+def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, similarity: float, margin: int) -> DataFrame:
+    """Pairs a, b of the candidates (id, b) whose texts are alike; prints (id, f0 .. f3) drop those that are far apart."""
+    pairs = pairs.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    left = prints.select(F.col("id").alias("a"), *[F.col(f"f{i}").alias(f"x{i}") for i in range(4)])
+    right = prints.select(F.col("id").alias("b"), *[F.col(f"f{i}").alias(f"y{i}") for i in range(4)])
     apart = sum(F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(4))
     close, _ = staged(pairs.join(left, "a").join(right, "b").where(apart <= margin).select("a", "b"), "wide-close")
     wanted = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -178,10 +194,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin
             keep = pa.array([_jaccard(t, u, width) >= similarity for t, u in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    roots = connected_components(both.mapInArrow(verify, "a long, b long"), "wide-links")
-    named = reps.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("group", F.coalesce("root", "id")).select(*same, "group")
-    members = prints.join(named.hint("merge"), same).select("doc_id", "group")
-    return members.join(members.where("doc_id <> group").select("group").distinct(), "group", "left_semi").distinct()
+    return both.mapInArrow(verify, "a long, b long")
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
