@@ -291,7 +291,7 @@ def _subset(spare: dict[int, int], room: int) -> dict[int, int]:
     return found
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 2048, bucket: int = 512) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, size: int = 2048, bucket: int = 128) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs (doc_id, text).
 
     The histogram (at most ``size`` rows) is all that reaches the driver; the configurations go back as a table of bounded
