@@ -83,15 +83,16 @@ def components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     Equal fingerprints, that of texts without words included, are one class before any pair is sought. A null doc_id keeps its
     row and is no component's smallest id unless its class has no other. Repeated rows repeat; other columns are not read.
     """
-    prints, path = staged(fingerprints(docs, width), "simhash")
-    classes, at = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    prints, _ = staged(fingerprints(docs, width), "simhash")
+    classes, _ = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = connected_components(links(classes.select("fp"), radius), "simhash-links")
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted, _ = staged(rooted, "simhash-roots")
-    dropped(docs.sparkSession, at)
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = salted_lookup(rooted.select("fp", "root"), lowest, "root", "fp").select("fp", "component_id")
-    return salted_lookup(prints, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
+    # only linked classes have a component beside their own
+    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = classes.join(salted_lookup(linked, lowest, "root", "fp", "inner").select("fp", "component_id"), "fp", "left")
+    named, _ = staged(named.select("fp", F.coalesce("component_id", "first").alias("component_id")), "simhash-named")
+    # a fingerprint of very many documents is a skewed key of two written tables, which adaptive execution splits
+    return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Wide fingerprints: their bits, the bits of a band, the radius within a band, and the least bytes of a word that counts.
