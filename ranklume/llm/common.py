@@ -72,7 +72,7 @@ def held_out_column(doc_id: F.Column) -> F.Column:
 def salted_lookup(big: DataFrame, small: DataFrame, key: str, salt_on: str, how: str = "left") -> DataFrame:
     """big joined to small, which has one row for each key. A key's rows in big are dealt over SALTS tasks; small is repeated as often."""
     left = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_on)), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    right = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).hint("merge")  # Spark does not see that explode makes it larger
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

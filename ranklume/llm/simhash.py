@@ -161,7 +161,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin
     # how many each meets; the order within a variant follows
     keys = _banded(some)
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared, _ = staged(keys.join(sizes, "key"), "wide-shared")
+    shared, _ = staged(keys.join(sizes.hint("merge"), "key"), "wide-shared")
     shared = shared.join(shared.groupBy("id").agg(F.sum("n").alias("meets")), "id")
     # first each with its variant's most central member, then neighbours that are not in one group yet
     by = Window.partitionBy("key").orderBy(F.desc("meets"), "id")
@@ -181,7 +181,8 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin
 
 def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, similarity: float, margin: int) -> DataFrame:
     """Pairs a, b of the candidates (id, b) whose texts are alike; prints (id, f0 .. f3) drop those that are far apart."""
-    pairs = pairs.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    # Spark takes exploded rows for few: none of them may be broadcast
+    pairs = pairs.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct().hint("merge")
     left = prints.select(F.col("id").alias("a"), *[F.col(f"f{i}").alias(f"x{i}") for i in range(4)])
     right = prints.select(F.col("id").alias("b"), *[F.col(f"f{i}").alias(f"y{i}") for i in range(4)])
     apart = sum(F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(4))
