@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +63,12 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast value, to be called for on executors; its classes travel with it."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def held_out(doc_id) -> bool:
     """Whether labels of the document are kept from every fit."""
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
@@ -130,4 +139,4 @@ def maybe_among(ids: DataFrame, key: str) -> Callable[[F.Column], F.Column]:
     return lambda column: test(F.xxhash64(column))
 
 
-__all__ = ["T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "maybe_among", "salted_lookup", "shared_folder", "small_batches", "staged", "table"]
+__all__ = ["T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "maybe_among", "salted_lookup", "sent", "shared_folder", "small_batches", "staged", "table"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sent, small_batches
 
 WORDS = re.compile(r"[^\W_]+")
 #: BM25's saturation and length normalisation; the most blocks of items in a shard, and the least items in a block.
@@ -204,10 +204,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, size
     small_batches(docs.sparkSession)
     out = None
     for found in shards(items):
-        held = docs.sparkSession.sparkContext.broadcast(found)
+        held = sent(docs.sparkSession, found)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own = held.value
+            own = held()
             for batch in batches:
                 rows = [(d, own.items[i], *rest) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, *rest in leaks(t, own, threshold, size, whole, part)]
                 columns = list(zip(*rows, strict=True)) or [[] for _ in _ARROW]

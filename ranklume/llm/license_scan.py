@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,17 +97,24 @@ class Rule:
     pattern: str
 
 
-@lru_cache(1)
+#: What a worker has compiled: the rules, and what detections() needs.
+_MADE: dict[str, Any] = {}
+
+
 def rules() -> list[Rule]:
     """Every form of every name, and the sentences: over 250 rules, the first of equal priority first."""
+    if "rules" in _MADE:
+        return _MADE["rules"]
     out = [Rule(label, p, w, keys, form.replace("{}", f"(?:{name})")) for p, w, keys, form in FORMS for label, name in NAMES.items()]
     out += [Rule(label, p, w, (key,), pattern) for label, p, w, key, pattern in SENTENCES]
-    return sorted(out, key=lambda r: -r.priority)
+    _MADE["rules"] = sorted(out, key=lambda r: -r.priority)
+    return _MADE["rules"]
 
 
-@lru_cache(1)
 def _compiled():
     """The keyword automaton, and for each keyword the rules behind it, compiled as one alternation per label where they share it."""
+    if "all" in _MADE:
+        return _MADE["all"]
     import ahocorasick
 
     found, machine = rules(), ahocorasick.Automaton()
@@ -124,7 +131,8 @@ def _compiled():
         forms.setdefault((r.priority, r.keywords), []).append(i)
     gates = {i: k for k, group in forms.items() for i in group}
     anyname = {k: re.compile(rb"(?<![^ ])(?:" + b"|".join(found[i].pattern.encode() for i in group) + rb")(?![^ ])") for k, group in forms.items()}
-    return machine, by_key, gates, anyname, [re.compile(rb"(?<![^ ])" + r.pattern.encode() + rb"(?![^ ])") for r in found]
+    _MADE["all"] = machine, by_key, gates, anyname, [re.compile(rb"(?<![^ ])" + r.pattern.encode() + rb"(?![^ ])") for r in found]
+    return _MADE["all"]
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sent, small_batches
 from .toxicity import labelled_sample
 
 #: What a text is described by. All are shares or logarithms and need no other column.
@@ -174,10 +174,10 @@ def quality(docs: DataFrame, model: Model | None) -> DataFrame:
     repeated rows repeat, and other columns are not read.
     """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = held()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             found = score(binned(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)), m.edges), m) if m else np.full(len(texts), 0.5)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import sent, small_batches, staged
 
 #: Words of an anchor; bits of a position in its sorting key; odd multiplier of the polynomial hash.
 ANCHOR, PLACE, ODD = 8, 24, 0x9E3779B97F4A7C15
@@ -295,13 +295,14 @@ def remove_reference_spans(docs: DataFrame, references: DataFrame, window: int =
         automaton = Automaton()
         for r in references.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select("text").distinct().collect():
             automaton.add(words_of(r["text"]))
-        held = spark.sparkContext.broadcast(automaton)
+        held = sent(spark, automaton)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            own = held()
             for batch in batches:
                 more = []
                 for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    ends = held.value.matching(words_of(text))
+                    ends = own.matching(words_of(text))
                     more.append(spans + [{"first": i + 1 - m, "count": m - window + 1} for i, m in enumerate(ends) if m >= window and (i + 1 == len(ends) or ends[i + 1] <= m)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())])))], ["doc_id", "text", "spans"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out_column, small_batches
+from .common import held_out_column, sent, small_batches
 
 WORDS = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings of words that get scores, the longest first.
@@ -239,10 +239,10 @@ def toxicity(docs: DataFrame, model: Model | None, significant: float = 0.01) ->
     scored one by one, so repeated rows repeat; other columns are not read.
     """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = sent(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m = held()
         memo = Scores(m.scores) if m else Scores({})
         for batch in batches:
             ids, scores, spans = batch.column(0).to_pylist(), [], []
