@@ -143,10 +143,28 @@ def bounds(docs: DataFrame, rows: int) -> list[int]:
     return sorted({int(c) for c in cuts})
 
 
+def even_keys(n: int) -> np.ndarray:
+    """n whole numbers that Spark's hash deals to n different partitions, the first to partition 0, and so on."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint32(by) | x >> np.uint32(32 - by)
+
+    x = np.arange(max(64, int(n * (np.log(n + 1) + 12))), dtype=np.uint32)
+    h = turned(np.uint32(42) ^ turned(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for by, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(by)) * np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    at, first = np.unique(h.view(np.int32).astype(np.int64) % n, return_index=True)
+    keys = np.arange(len(x), len(x) + n)
+    keys[at] = x[first]
+    return keys
+
+
 def against_edited(docs: DataFrame, rows: int = 4096) -> DataFrame:
     """EDITED for each row: its fingerprint against those of its edited text and of the next document by (doc_id, text).
 
-    Rows are dealt into ranges of doc_id and sorted there, one shuffle; the first document of each range goes also to
+    Rows are dealt into ranges of doc_id, a partition each, and sorted there, one shuffle; the first document of each range goes also to
     the range before, as the last row's next (that of the first range to the last, so the order is a ring). Each task
     holds two texts at a time. Null texts are empty; rows of equal doc_id stand in the order of their texts; a single row
     is its own next. Null doc_ids stand before all others.
@@ -155,20 +173,23 @@ def against_edited(docs: DataFrame, rows: int = 4096) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = bounds(docs, rows)
-    at = F.lit(0)
+    keys = even_keys(len(cuts) + 1).tolist()
+    at = F.lit(keys[0])
     if cuts:
-        at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id"))) if len(cuts) <= 128 else _range_of(cuts)
-        at = F.when(F.col("doc_id").isNull(), 0).otherwise(at)
+        place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("doc_id")))
+        at = F.element_at(F.array(*[F.lit(k) for k in keys]), place + 1) if len(cuts) <= 128 else _range_of(cuts, keys)
+        at = F.when(F.col("doc_id").isNull(), keys[0]).otherwise(at)
     placed = docs.withColumn("bin", at.cast("int"))
     firsts = placed.groupBy("bin").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("low")).collect()  # a row for each range
     if not firsts:
         return spark.createDataFrame([], EDITED)
-    order = sorted(r["bin"] for r in firsts)
+    here = {r["bin"] for r in firsts}
+    order = [k for k in keys if k in here]
     before = {b: order[i - 1] for i, b in enumerate(order)}
     low = spark.createDataFrame([Row(bin=r["bin"], doc_id=r["low"], to=before[r["bin"]]) for r in firsts], "bin int, doc_id long, to int")
     heads = placed.join(F.broadcast(low), on=(placed["bin"] == low["bin"]) & placed["doc_id"].eqNullSafe(low["doc_id"])).groupBy("to").agg(F.min(F.struct(placed["doc_id"], "text")).alias("h"))
     heads = heads.select(F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text"), F.col("to").alias("bin"), F.lit(1).alias("extra"))
-    dealt = placed.withColumn("extra", F.lit(0)).unionByName(heads).repartition(len(order), "bin").sortWithinPartitions("bin", "extra", "doc_id", "text")
+    dealt = placed.withColumn("extra", F.lit(0)).unionByName(heads).repartition(len(keys), "bin").sortWithinPartitions("bin", "extra", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -189,14 +210,14 @@ def against_edited(docs: DataFrame, rows: int = 4096) -> DataFrame:
     return dealt.select("doc_id", "text", "bin", "extra").mapInArrow(run, EDITED)
 
 
-def _range_of(cuts: list[int]):
-    """The number of cuts at or below doc_id, by a vectorised search: far cheaper than a chain of conditions."""
+def _range_of(cuts: list[int], keys: list[int]):
+    """The key of the range that doc_id is in, by a vectorised search: far cheaper than a chain of conditions."""
     import pandas as pd
 
-    edges = np.array(cuts, np.int64)
+    edges, of = np.array(cuts, np.int64), np.array(keys, np.int32)
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.fillna(0).astype("int64").to_numpy(), side="right"), dtype="int32")
+        return pd.Series(of[np.searchsorted(edges, ids.fillna(0).astype("int64").to_numpy(), side="right")])
 
     return place(F.col("doc_id"))

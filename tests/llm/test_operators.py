@@ -179,6 +179,12 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.against_edited(spark.createDataFrame([(1, "abcd"), (None, "x")], "doc_id long, text string")).count() == 2
 
 
+@pytest.mark.parametrize("n", [1, 2, 63, 500])
+def test_even_keys(spark, n):
+    keys = spark.createDataFrame([(int(k),) for k in fingerprint.even_keys(n)], "k int")
+    assert [r[0] for r in keys.select(F.pmod(F.hash("k"), F.lit(n)).alias("p")).collect()] == list(range(n))
+
+
 def test_edit_distance():
     rng = np.random.default_rng(1)
     for _ in range(200):
