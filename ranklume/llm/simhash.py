@@ -8,6 +8,7 @@ link verified, and the links' components are the groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, dropped, maybe_among, salted_lookup, small_batches, staged
+from .common import connected_components, dropped, maybe_among, salted_lookup, sent, small_batches, staged
 
 SEED = 42
 
@@ -95,8 +96,8 @@ def components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: their bits, the bits of a band, the radius within a band, and the least bytes of a word that counts.
-WIDE, BAND, BAND_RADIUS, LONG_WORD = 256, 32, 2, 6
+#: Wide fingerprints: their bits, and the least bytes of a word that counts.
+WIDE, LONG_WORD = 256, 6
 
 
 def wide_simhash(text: str | None) -> tuple[int, int, int, int]:
@@ -124,72 +125,156 @@ def _jaccard(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _banded(prints: DataFrame) -> DataFrame:
-    """key and id: every variant within half the radius of every band."""
-    flips = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << i for i in range(BAND)))])
-    bands = F.array(*[F.struct(F.lit(b).cast("long").alias("band"), F.shiftrightunsigned(f"f{b // 2}", BAND * (b % 2)).bitwiseAND(F.lit((1 << BAND) - 1)).alias("bits")) for b in range(WIDE // BAND)])
-    cut = prints.select("id", F.explode(bands).alias("x")).select("id", "x.band", "x.bits", F.explode(flips).alias("flip"))
-    return cut.select("id", F.shiftleft(F.col("band"), BAND).bitwiseOR(F.col("bits").bitwiseXOR(F.col("flip"))).alias("key"))
+#: Slots (a power of 2) in which shingles are counted, in CHUNKS parts; the bits of a parity map; words whose hashes a task keeps at hand.
+SLOT_BITS, CHUNKS, PARITY, MEMO = 21, 64, 512, 300_000
+#: Pairs that are compared at once, whatever their number by key: some, and some for each row.
+PAIRS, PAIRS_A_ROW = 1_000_000, 8
 
 
-def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, margin: int = 36) -> DataFrame:
+class Shingles(dict):
+    """Hashes of words; a call gives the sorted distinct hashes of a text's shingles, as shingles() cuts them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+    def __call__(self, text: str | None, width: int) -> np.ndarray:
+        words = (text or "").encode().lower().split()
+        if not words:
+            return np.zeros(0, np.uint64)
+        if len(words) < width:
+            return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED + 1)], np.uint64)
+        h = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        n = len(h) - width + 1
+        mixed = np.zeros(n, np.uint64)
+        for k in range(width):
+            mixed = (mixed ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return np.unique(mixed * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def _levels(docs: DataFrame, width: int) -> np.ndarray:
+    """How frequent each slot's shingles are, by an eighth of a power of 2: a table of fixed size however many documents there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = Shingles(), np.zeros(1 << SLOT_BITS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (hashes(text, width) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        for k, part in enumerate(np.split(counts, CHUNKS)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+        for k, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.round(8 * np.log2(1 + n)).clip(0, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
+
+    schema = "part int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(total, schema).collect()
+    levels = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint8)
+    for r in rows:
+        levels[r["part"]] = np.frombuffer(r["counts"], np.uint8)
+    return levels.reshape(-1)
+
+
+def _prefix(h: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles in one order for all sets, rare ones first: as many as leave too few others for two alike sets to share none of the first."""
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+    order = levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    return (np.partition(order, n - 1)[:n] if 0 < n < len(order) else order).view(np.int64)
+
+
+def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id of every document with a group of others, and ``group``, the smallest doc_id of it.
 
-    Documents of equal text, or linked by a chain of texts whose sets of ``width``-word shingles have a Jaccard similarity of
-    ``similarity`` or more, are a group. Candidates meet in a variant of one of eight bands of a wide SimHash. In a variant each
-    is compared to the member that meets most others anywhere (a group's common source, if it is there), then to those
-    near it that this has not put into its group, so work grows with the rows, not with a group's pairs. Candidates over
-    ``margin`` of 256 bits apart are dropped, the others' texts are compared. Null texts are empty, and empty texts are copies of each other.
+    Documents of equal sets of ``width``-word shingles, or linked by a chain of texts whose sets have a Jaccard similarity of
+    ``similarity`` (above 0) or more, are a group; no such pair is missed. Two sets that alike share one of their first shingles in any
+    order of all shingles (a prefix of 1 - ``similarity`` of a set), so all who share one are compared, unless they are in one
+    group already or their sizes or parity maps prove them apart. In crowded keys a member that meets most others is
+    compared with all and removed, as long as that halves the pairs left. Null texts are empty, and empty texts are copies of each other.
     Rows without doc_id are in no group; rows of one doc_id are one document, other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    levels = sent(spark, _levels(docs, width))
+    words = PARITY // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, own = Shingles(), levels()
         for batch in batches:
-            found = list(zip(*map(wide_simhash, batch.column(2).to_pylist()), strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(f, pa.int64()) for f in found)], ["doc_id", "hash", "f0", "f1", "f2", "f3"])
-
-    prints, _ = staged(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, f0 long, f1 long, f2 long, f3 long"), "wide")
-    same = ["hash", "f0", "f1", "f2", "f3"]
-    reps = prints.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    # who meets anyone
-    order = Window.partitionBy("key").orderBy("id")
-    met = _banded(reps).withColumn("other", F.lag("id").over(order)).where("other is not null").select(F.explode(F.array("id", "other")).alias("id")).distinct()
-    some, _ = staged(reps.join(met, "id"), "wide-met")
-    # how many each meets; the order within a variant follows
-    keys = _banded(some)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared, _ = staged(keys.join(sizes.hint("merge"), "key"), "wide-shared")
-    shared = shared.join(shared.groupBy("id").agg(F.sum("n").alias("meets")), "id")
-    # first each with its variant's most central member, then neighbours that are not in one group yet
-    by = Window.partitionBy("key").orderBy(F.desc("meets"), "id")
-    led = _alike(docs, some, shared.select("id", F.first("id").over(by).alias("b")), width, similarity, margin)
-    led, _ = staged(led, "wide-led")
-    group = connected_components(led, "wide-led-links")
-    grouped = shared.join(group.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    beside = Window.partitionBy("key").orderBy("root", F.desc("meets"), "id")
-    next_ = [F.when(F.lag("root", k).over(beside) != F.col("root"), F.lag("id", k).over(beside)) for k in (1, 2, 3)]
-    placed = grouped.select("id", F.array_compact(F.array(*next_)).alias("others")).where(F.size("others") > 0).select("id", F.explode("others").alias("b"))
-    more = _alike(docs, some, placed, width, similarity, margin)
-    roots = connected_components(led.unionByName(more), "wide-links")
-    named = reps.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("group", F.coalesce("root", "id")).select(*same, "group")
-    members = prints.join(named.hint("merge"), same).select("doc_id", "group")
-    return members.join(members.where("doc_id <> group").select("group").distinct(), "group", "left_semi").distinct()
-
-
-def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, similarity: float, margin: int) -> DataFrame:
-    """Pairs a, b of the candidates (id, b) whose texts are alike; prints (id, f0 .. f3) drop those that are far apart."""
+            sets = [hashes(t, width) for t in batch.column(2).to_pylist()]
+            prints = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets], pa.int64())
+            maps = np.array([np.packbits((np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64) for h in sets], np.int64).reshape(-1, words)
+            firsts = pa.array([_prefix(h, own, similarity) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, pa.array([len(h) for h in sets], pa.int64()), firsts, *(pa.array(maps[:, i]) for i in range(words))], [*names])
+
+    maps = [f"p{i}" for i in range(words)]
+    names = ["doc_id", "hash", "id", "n", "first", *maps]
+    schema = "doc_id long, hash long, id long, n long, first array<long>, " + ", ".join(f"{m} long" for m in maps)
+    prints, _ = staged(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, schema), "wide")
+    # a row for each set; what is repeated in full may stay, as a set is never compared with itself
+    reps = prints.groupBy("id").agg(F.min(F.struct("doc_id", "hash")).alias("r")).select("id", "r.doc_id", "r.hash")
+    sets, _ = staged(prints.join(reps, ["id", "doc_id", "hash"]), "wide-sets")
+    by = Window.partitionBy("key")
+    keys = sets.select("id", F.explode("first").alias("key")).withColumn("met", F.count("*").over(by)).where("met > 1")
+    keys, _ = staged(keys, "wide-keys")
+    shared, path = staged(keys.join(keys.groupBy("id").agg(F.sum("met").alias("meets")), "id").select("key", "id", "meets"), "wide-shared")
+    # sets of one document are of one group
+    links, _ = staged(prints.select("id", F.min("id").over(Window.partitionBy("doc_id")).alias("b")).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "wide-same")
+    before = None
+    while True:
+        roots, _ = staged(connected_components(links, "wide-links"), "wide-roots")
+        placed = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        placed = placed.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).where("low <> high").drop("low", "high")
+        placed, new = staged(placed, "wide-shared")
+        dropped(spark, path)
+        path = new
+        rows, pairs = placed.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0))).first()
+        if not rows:
+            break
+        last = pairs <= PAIRS + PAIRS_A_ROW * rows or before is not None and pairs > before / 2
+        if last:
+            one, two = placed.select("key", "id", "root").hint("merge"), placed.select("key", F.col("id").alias("b"), F.col("root").alias("of"))
+            met = one.join(two, "key").where("id < b and root <> of")
+        else:
+            central = Window.partitionBy("key").orderBy(F.desc("meets"), "id")
+            lead = placed.withColumn("b", F.first("id").over(central)).withColumn("of", F.first("root").over(central))
+            met = lead.where("root <> of")
+            shared = lead.where("id <> b").select("key", "id", "meets")
+        found, _ = staged(_alike(docs, sets, met.select("id", "b"), maps, width, similarity), "wide-found")
+        links = links.unionByName(found)
+        if last:
+            break
+        before = pairs
+    roots = connected_components(links, "wide-links")
+    members = prints.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
+    members, _ = staged(members, "wide-members")
+    lowest = members.groupBy("root").agg(F.min("doc_id").alias("group"), F.max("doc_id").alias("high")).where("high > group").select("root", "group")
+    return members.join(lowest.hint("merge"), "root").select("doc_id", "group").distinct()
+
+
+def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str], width: int, similarity: float) -> DataFrame:
+    """Pairs a, b of the candidates (id, b) whose texts are alike. Sizes and parity maps of the sets drop only pairs that cannot be."""
     # Spark takes exploded rows for few: none of them may be broadcast
     pairs = pairs.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct().hint("merge")
-    left = prints.select(F.col("id").alias("a"), *[F.col(f"f{i}").alias(f"x{i}") for i in range(4)])
-    right = prints.select(F.col("id").alias("b"), *[F.col(f"f{i}").alias(f"y{i}") for i in range(4)])
-    apart = sum(F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(4))
-    close, _ = staged(pairs.join(left, "a").join(right, "b").where(apart <= margin).select("a", "b"), "wide-close")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts, _ = staged(docs.where(maybe_among(wanted, "doc_id")(F.col("doc_id"))).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "wide-texts")
-    both = close.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("u")), "b").select("a", "b", "t", "u")
+    one = sets.select("id", "n", "hash", *maps).dropDuplicates(["id"])
+    left, right = (one.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "hash", *maps)]) for end in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    # |x & y| >= J / (1 + J) (|x| + |y|), so the rest is at most (1 - J) / (1 + J) of both, and no fewer than the odd bits
+    odd = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps)
+    able = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+    close, _ = staged(both.where(able).select("a", "b", "hash_a", "hash_b"), "wide-close")
+    wanted = close.select(F.explode(F.array("hash_a", "hash_b")).alias("hash")).distinct()
+    among = maybe_among(wanted, "hash")
+    texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).join(wanted, "hash").groupBy("hash").agg(F.min("text").alias("text"))
+    texts, _ = staged(texts, "wide-texts")
+    both = close.join(texts.select(F.col("hash").alias("hash_a"), F.col("text").alias("t")), "hash_a").join(texts.select(F.col("hash").alias("hash_b"), F.col("text").alias("u")), "hash_b").select("a", "b", "t", "u")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

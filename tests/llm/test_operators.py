@@ -272,6 +272,41 @@ def test_near_groups(docs, none):
     assert simhash.near_groups(none).count() == 0 and simhash.first_of_groups(none).columns == none.columns
 
 
+def alike_groups(texts, width=5, similarity=0.8):
+    sets = {i: set(simhash.shingles(t, width)) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if (len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    sizes = {r: list(root.values()).count(r) for r in root.values()}
+    return {i: r for i, r in root.items() if sizes[r] > 1}
+
+
+def edited_texts():
+    """Texts with a passage appended or deleted, at similarities just above 0.8, and pairs among many texts of one form."""
+    out = []
+    for k in range(20):
+        t = prose(3000 + k, 240).split()
+        out += [t, t[:194] if k % 2 else t + prose(3100 + k, 56).split()]
+    form = prose(3200, 150).split()
+    for k in range(12):
+        own = prose(3300 + k, 50).split()
+        out += [form + own, form + own[:25] + prose(3400 + k, 10).split() + own[25:]]
+    return {i: " ".join(t) for i, t in enumerate(out)}
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, few):
+    if few:  # crowded keys: lead and remove first
+        monkeypatch.setattr(simhash, "PAIRS", 0)
+        monkeypatch.setattr(simhash, "PAIRS_A_ROW", 0)
+    texts = edited_texts()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(df).collect()}
+    assert got == alike_groups(texts) and len(got) > 60
+
+
 def brute_dedup(texts, window):
     words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in texts.items()}
     first: dict[tuple, int] = {}
