@@ -33,9 +33,11 @@ SHINGLE = 5
 
 @dataclass
 class Index:
-    """Items' ids and parts; for each term its postings (items, weights), and the largest weight in each block of ``block`` items."""
+    """Items' ids and parts. What is searched are cuts of items, whole items mostly, and ``owners`` tells whose: for each term
+    its postings (cuts, weights), and the largest weight in each block of ``block`` cuts."""
 
     items: list[int]
+    owners: list[int]
     questions: list[frozenset[tuple[str, ...]]]
     answers: list[frozenset[tuple[str, ...]]]
     lengths: list[int]
@@ -72,14 +74,20 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return question, answer
 
 
-def index(items: list[tuple[int, str | None]]) -> Index:
-    """The inverted index. Items without words are never found; items of equal text are all found."""
+def index(items: list[tuple[int, str | None]], longest: int = 80) -> Index:
+    """The inverted index. Items without words are never found; items of equal text are all found. An item of over ``longest``
+    words is cut evenly, as no passage holds it whole; each cut has weights of its own."""
     known = [(i, t) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0])) if i is not None and words(t)]
-    counts = [Counter(words(t)) for _, t in known]
+    said = [words(t) for _, t in known]
+    cuts = []
+    for i, w in enumerate(said):
+        n = -(-len(w) // longest)
+        cuts += [(i, w[len(w) * k // n : len(w) * (k + 1) // n]) for k in range(n)]
+    counts = [Counter(w) for _, w in cuts]
     sizes = [sum(c.values()) for c in counts]
     mean = sum(sizes) / max(1, len(sizes))
     df = Counter(w for c in counts for w in c)
-    idf = {w: math.log(1 + (len(known) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    idf = {w: math.log(1 + (len(cuts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
     terms = {w: k + 1 for k, w in enumerate(sorted(df))}
     held: list[tuple[list[int], list[float]]] = [([], []) for _ in range(len(terms) + 1)]
     for d, (c, n) in enumerate(zip(counts, sizes, strict=True)):
@@ -88,17 +96,17 @@ def index(items: list[tuple[int, str | None]]) -> Index:
         for w, x in weights.items():
             held[terms[w]][0].append(d)
             held[terms[w]][1].append(x / total)
-    block = max(LEAST, -(-len(known) // BLOCKS))
-    most = np.zeros((len(terms) + 1, -(-len(known) // block)), np.float32)
+    block = max(LEAST, -(-len(cuts) // BLOCKS))
+    most = np.zeros((len(terms) + 1, -(-len(cuts) // block)), np.float32)
     for k, (ids, ws) in enumerate(held):
         for i, w in zip(ids, ws, strict=True):
             most[k, i // block] = max(most[k, i // block], w)
     split = [parts(t) for _, t in known]
-    return Index([i for i, _ in known], [shingles(q) for q, _ in split], [shingles(a) for _, a in split], sizes, terms, held, block, most)
+    return Index([i for i, _ in known], [i for i, _ in cuts], [shingles(q) for q, _ in split], [shingles(a) for _, a in split], [len(w) for w in said], terms, held, block, most)
 
 
 def search(terms: list[int], found: Index, k: int, threshold: float) -> list[tuple[int, float]]:
-    """Items of block k whose score for these distinct terms is at least ``threshold``, by WAND over the block's maxima.
+    """Cuts of items of block k whose score for these distinct terms is at least ``threshold``, by WAND over the block's maxima.
 
     Cursors stand in order of their next item; the pivot is the first where the maxima so far reach the threshold, so
     no item before it can. Only a pivot that the first cursor has reached too is scored.
@@ -139,10 +147,11 @@ def search(terms: list[int], found: Index, k: int, threshold: float) -> list[tup
 
 
 def leaks(text: str | None, found: Index, threshold: float, size: int, whole: float, part: float) -> list[tuple[int, float, float, float, int]]:
-    """(item, share of BM25, question overlap, answer overlap, first word) of the items that the whole text holds.
+    """(item, share of BM25 of the item or of a cut of it, question overlap, answer overlap, first word) of the items that the whole text holds.
 
     Passages of ``size`` words start at every half of that. The maxima of a half's distinct terms are summed for every
     block of items; where two neighbouring halves' sums stay below the threshold, no item of the block can be in their passage.
+    Of the passages above the threshold the first by share that is verified counts.
     """
     said = words(text)
     n = len(said)
@@ -151,7 +160,7 @@ def leaks(text: str | None, found: Index, threshold: float, size: int, whole: fl
     get, half = found.terms.get, size // 2
     ids = np.fromiter((get(w, 0) for w in said), np.int64, n)
     last = (n - 1) // half
-    best: dict[int, tuple[float, int]] = {}
+    places_of: dict[int, dict[int, float]] = {}
     for at in range(0, max(1, last), AT_ONCE):
         low, high = at * half, min(n, (at + AT_ONCE + 1) * half)
         own = ids[low:high]
@@ -167,17 +176,19 @@ def leaks(text: str | None, found: Index, threshold: float, size: int, whole: fl
         both = bounds[:-1] + bounds[1:] if count > 1 else bounds
         for i, k in zip(*(x.tolist() for x in np.nonzero(both >= threshold - 1e-5)), strict=True):
             near = np.unique(term[places[i] : places[min(i + 2, count)]])
-            for item, score in search(near[found.most[near, k] > 0].tolist(), found, k, threshold):
-                if score > best.get(item, (0.0, 0))[0]:
-                    best[item] = (score, (at + i) * half)
+            for cut, score in search(near[found.most[near, k] > 0].tolist(), found, k, threshold):
+                held = places_of.setdefault(found.owners[cut], {})
+                held[(at + i) * half] = max(score, held.get((at + i) * half, 0.0))
     out = []
-    for item, (score, a) in sorted(best.items()):
+    for item, held in sorted(places_of.items()):
         reach = found.lengths[item] + SHINGLE
-        near = said[max(0, a - reach) : a + size + reach]
         q, w = found.questions[item], found.answers[item]
-        hit_q, hit_w = overlap(q, near), overlap(w, near)
-        if (hit_q + hit_w) >= whole * (len(q) + len(w)) and hit_q >= part * len(q) and hit_w >= part * len(w):
-            out.append((item, score, hit_q / max(1, len(q)), hit_w / max(1, len(w)), a))
+        for a, score in sorted(held.items(), key=lambda x: (-x[1], x[0])):
+            near = said[max(0, a - reach) : a + size + reach]
+            hit_q, hit_w = overlap(q, near), overlap(w, near)
+            if (hit_q + hit_w) >= whole * (len(q) + len(w)) and hit_q >= part * len(q) and hit_w >= part * len(w):
+                out.append((item, score, hit_q / max(1, len(q)), hit_w / max(1, len(w)), a))
+                break
     return out
 
 
@@ -185,25 +196,25 @@ SCHEMA = "doc_id long, item_id long, bm25_share double, question_overlap double,
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("bm25_share", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("passage_word", pa.int64())])
 
 
-def shards(items: DataFrame, words_each: int = 500_000) -> Iterator[Index]:
+def shards(items: DataFrame, words_each: int = 500_000, longest: int = 80) -> Iterator[Index]:
     """Indexes of parts of the items (item_id, text), each of about ``words_each`` words however many items there are; one at a time is on the driver."""
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (6 * words_each)))
     for k in range(n):
         some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield index([(r["item_id"], r["text"]) for r in some.select("item_id", "text").distinct().collect()])
+        yield index([(r["item_id"], r["text"]) for r in some.select("item_id", "text").distinct().collect()], longest)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.5, size: int = 160, whole: float = 0.8, part: float = 0.5) -> DataFrame:
     """SCHEMA, a row for each document and item that it holds: all above the threshold, verified.
 
-    At least ``whole`` of the item's five-word shingles and ``part`` of its question's and its answer's stand near the
+    Items may be of any length. At least ``whole`` of the item's five-word shingles and ``part`` of its question's and its answer's stand near the
     passage. Null and empty texts and items hold nothing; repeated rows repeat; other columns are not read. Each shard of
     items is broadcast and has a bounded size; documents are read once for each shard, and nothing is shuffled.
     """
     small_batches(docs.sparkSession)
     out = None
-    for found in shards(items):
+    for found in shards(items, longest=max(1, size // 2)):
         held = sent(docs.sparkSession, found)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -369,6 +369,17 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items_and_later_passages(spark):
+    long = f"{prose(700, 900).capitalize()}? {prose(701, 60)}."
+    short = f"{prose(702, 30).capitalize()}? {prose(703, 8)}."
+    words = decontaminate.words(short)
+    decoy = " ".join(w for i in range(0, len(words), 4) for w in reversed(words[i : i + 4]))  # its words, but no run of five
+    texts = {0: prose(1, 300) + " " + long + " " + prose(2, 200), 1: prose(3, 170) + " " + decoy + " " + prose(4, 900) + " " + short + " " + prose(6, 300), 2: " ".join(long.split()[:400])}
+    bench = spark.createDataFrame([(1, long), (2, short)] + [(10 + i, f"{prose(800 + i, 30)}? {prose(900 + i, 8)}.") for i in range(20)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1), (1, 2)}
+
+
 def test_wand_finds_what_scoring_all_finds():
     items = [(i, prose(i, 25)) for i in range(40)]
     found = decontaminate.index(items)
