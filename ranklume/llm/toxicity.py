@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +29,6 @@ STEMS = (6, 5, 4)
 MEMO = 300_000
 #: The least score that a token may have of its own; weaker evidence is noise of the sample.
 LEAST = 0.8
-#: Times that one word counts in a text.
-REPEATS = 2
 
 
 @dataclass
@@ -94,13 +91,9 @@ class Scores(dict):
 
 
 def passages(text: str | None, scores: Scores, other: float) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of tokens, and segments. A word's score counts REPEATS times in a text: repeated lines are no evidence."""
+    """Number of tokens, and segments. Every occurrence of a word scores, whatever stands before it."""
     words = tokens(text)
-    places, seen = [], Counter()
-    for i, s in enumerate(map(scores.__getitem__, words)):
-        if s is not None and seen[words[i]] < REPEATS:
-            seen[words[i]] += 1
-            places.append((i, s))
+    places = [(i, s) for i, s in enumerate(map(scores.__getitem__, words)) if s is not None]
     return len(words), segments(places, len(words), other)
 
 

@@ -124,6 +124,15 @@ def test_held_out(spark):
     assert all(got[i] == held_out(i) for i in range(200))
 
 
+def test_toxic_passages_are_found_whatever_stands_before():
+    model = toxicity.Model({f"bad{k}": 2.0 for k in range(6)}, -0.1, 1.0, 0.1, (-2.0, 1.0, 0.0))
+    passage = " ".join(model.scores)
+    text = (" ".join(["calm"] * 200)).join(["", *[passage] * 4, ""])
+    n, found = toxicity.passages(text.replace("calmbad", "calm bad").replace("bad5calm", "bad5 calm"), toxicity.Scores(model.scores), model.other)
+    assert [round(s, 6) for *_, s in found] == [12.0] * 4 and all(b - a == 6 for a, b, _ in found)
+    assert [s for *_, s in toxicity.passages("bad0 " * 9, toxicity.Scores(model.scores), model.other)[1]] == [18.0]
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(5)
     for _ in range(200):
