@@ -23,6 +23,10 @@ from pyspark.sql.window import Window
 
 from .common import small_batches, staged
 
+#: Times that the linear program is solved, each time for what rounding has left.
+TURNS = 2
+#: Parts of a mixture, one after the other.
+SHARES = (0.5, 0.25, 0.25, 0.25, 0.25, 0.5, 1.0, 1.0)
 #: Words, and cores of words, whose ids a task keeps at hand: the first it meets, so mostly the frequent ones.
 MEMO = 400_000
 #: White space that Python or the tokenizer, but not both for sure, splits at.
@@ -103,10 +107,11 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 @dataclass
 class Plan:
-    """Configurations (how many pieces of each length) with the number of sequences of each, and the bound that prices prove."""
+    """Configurations (how many pieces of each length) with the number of sequences of each, the bound that prices prove, and the sequences that the linear program made."""
 
     configurations: list[tuple[dict[int, int], int]]
     bound: float
+    mixed: int = 0
 
     @property
     def sequences(self) -> int:
@@ -139,52 +144,80 @@ def fullest(value: np.ndarray, lengths: np.ndarray, size: int, most: np.ndarray)
     return found, float(best[size])
 
 
+def _mixture(left: dict[int, int], size: int, rounds: int, rate: float, whole: dict[int, int]) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Full configurations of the pieces left, rounded down, and the bound that the prices prove for ``whole``.
+
+    The mixture is scaled to all that is left. Scarce lengths cap the configurations that hold them, no others.
+    """
+    lengths = np.array(sorted(left), int)
+    wanted, all_ = (np.array([of[int(n)] for n in lengths], float) for of in (left, whole))
+    bound = 0.0
+    load = np.zeros(len(lengths))  # times each length is in the mixture so far
+    used: dict[tuple, int] = {}
+    log_weight = np.zeros(len(lengths))
+    for t in range(rounds):
+        # a length's price falls as the mixture covers its share; prices start from the lengths themselves
+        price = lengths / size * np.exp(log_weight)
+        found, value = fullest(price, lengths, size, wanted)
+        if value > 0:
+            bound = max(bound, float(price @ all_) / value)
+        used[tuple(sorted(found.items()))] = used.get(tuple(sorted(found.items())), 0) + 1
+        for j, n in found.items():
+            load[j] += n
+        cover = load / wanted * wanted.sum() / max(load.sum(), 1)
+        log_weight = np.clip(-rate * np.sqrt(t + 1) ** 0.5 * (cover - 1), -12, 4)
+    scale = float(wanted @ lengths) / size / rounds
+    full = [(key, times) for key, times in sorted(used.items(), key=lambda x: (-x[1], x[0])) if sum(lengths[j] * k for j, k in key) >= 0.999 * size]
+    out = []
+    for share in SHARES:  # what scarce lengths keep from one configuration, others of the mixture share
+        for key, times in full:
+            n = int(min(times * scale * share, min(wanted[j] // k for j, k in key)))
+            if n:
+                out.append(({int(lengths[j]): k for j, k in key}, n))
+                for j, k in key:
+                    wanted[j] -= n * k
+    return out, bound
+
+
 def packed(histogram: dict[int, int], size: int = 2048, rounds: int = 400, rate: float = 0.5) -> Plan:
     """Sequences of at most ``size`` tokens for ``histogram`` (pieces of each length 1 to ``size``).
 
     At most ``size`` lengths and ``rounds`` configurations, however many pieces there are.
     """
     configurations: list[tuple[dict[int, int], int]] = []
+    mixed = 0
     left = {n: c for n, c in histogram.items() if c > 0}
     if left.get(size):
         configurations.append(({size: 1}, left.pop(size)))
     whole = sum(n * c for n, c in left.items()) / size
     bound = whole
-    lengths = np.array(sorted(left), int)
-    if len(lengths):
-        wanted = np.array([left[int(n)] for n in lengths], float)
-        load = np.zeros(len(lengths))  # times each length is in the mixture so far
-        used: dict[tuple, int] = {}
-        log_weight = np.zeros(len(lengths))
-        for t in range(rounds):
-            # a length's price falls as the mixture covers its share; prices start from the lengths themselves
-            price = lengths / size * np.exp(log_weight)
-            found, value = fullest(price, lengths, size, wanted)
-            if value > 0:
-                bound = max(bound, float(price @ wanted) / value)
-            used[tuple(sorted(found.items()))] = used.get(tuple(sorted(found.items())), 0) + 1
-            for j, n in found.items():
-                load[j] += n
-            cover = load / wanted * wanted.sum() / max(load.sum(), 1)
-            log_weight = np.clip(-rate * np.sqrt(t + 1) ** 0.5 * (cover - 1), -12, 4)
-        # the mixture is scaled so that no length is packed more often than it occurs, and rounded down
-        scale = min(wanted[j] / load[j] for j in np.flatnonzero(load))
-        rest, floored = wanted.copy(), []
-        for key, times in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-            n = int(min(times * scale, min(rest[j] // k for j, k in key)))
-            if n and sum(lengths[j] * k for j, k in key) >= 0.999 * size:
-                floored.append(({int(lengths[j]): k for j, k in key}, n))
-                for j, k in key:
-                    rest[j] -= n * k
-        floored += _rest({int(n): int(c) for n, c in zip(lengths, rest, strict=True) if c}, size)
+    if left:
+        # each turn solves for what its predecessors' rounding has left
+        rest, floored = dict(left), []
+        for _ in range(TURNS):
+            if not rest:
+                break
+            mixture, proven = _mixture(rest, size, max(1, rounds // TURNS), rate, left)
+            bound = max(bound, proven)
+            for found, n in mixture:
+                floored.append((found, n))
+                for length, k in found.items():
+                    rest[length] -= n * k
+                    if not rest[length]:
+                        del rest[length]
+        mixed = sum(n for _, n in floored)
+        floored += _rest(rest, size)
         # with a few pieces of each length all fractions may be better rounded down to nothing
         unmixed = _best_fit(left, size)
-        configurations += min(floored, unmixed, key=lambda way: sum(n for _, n in way))
+        if sum(n for _, n in floored) <= sum(n for _, n in unmixed):
+            configurations += floored
+        else:
+            configurations, mixed = configurations + unmixed, 0
     merged: dict[tuple, int] = {}
     for found, n in configurations:
         key = tuple(sorted(found.items()))
         merged[key] = merged.get(key, 0) + n
-    return Plan([(dict(k), n) for k, n in sorted(merged.items())], bound + histogram.get(size, 0))
+    return Plan([(dict(k), n) for k, n in sorted(merged.items())], bound + histogram.get(size, 0), mixed)
 
 
 def _rest(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:

@@ -92,6 +92,24 @@ def test_plan_is_near_its_bound(histogram):
     assert plan.bound - 1e-6 <= plan.sequences <= 1.01 * plan.bound + 3
 
 
+def lognormal_histogram(n):
+    found: dict[int, int] = {}
+    for x in np.minimum(np.exp(np.random.default_rng(0).normal(5.6, 1.0, n)).astype(int) + 1, 2048).tolist():
+        found[x] = found.get(x, 0) + 1
+    return found
+
+
+def test_the_linear_program_packs_a_real_histogram():
+    histogram = lognormal_histogram(20_000)
+    plan = packing.packed(histogram)
+    used: dict[int, int] = {}
+    for found, n in plan.configurations:
+        assert sum(k * c for k, c in found.items()) <= 2048
+        for k, c in found.items():
+            used[k] = used.get(k, 0) + c * n
+    assert used == histogram and plan.sequences <= plan.bound + 2 and plan.mixed >= 0.3 * plan.sequences
+
+
 def test_ids_of_words_are_those_of_texts():
     words = packing.Words(tokenizer_path())
     for t in [t or "" for t in TEXTS.values()] + ["Σας ſ ß ǅ ŉ İI", "é áb. it's l'eau", "a b\x85c", "!!! ... (x) $5.00"]:
