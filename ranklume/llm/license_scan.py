@@ -61,15 +61,15 @@ NAMES = {
     "zlib": "zlib(?: libpng)?(?: license)?",
     "zpl": "zope public license",
 }
-#: How texts name a license; priority, weight, keywords of which one must occur, pattern about the name.
+#: How texts name a license; priority, weight, keywords of which every match has one, pattern about the name.
 FORMS = [
     (90, 0.99, ("spdx",), r"spdx license identifier {}"),
-    (80, 0.95, ("licens", "licenc"), r"(?:licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?{}(?: (?:version|v) ?[0-9]+(?: [0-9]+)*)?"),
-    (75, 0.95, ("licens", "licenc"), r"under (?:the )?(?:terms|conditions) (?:and conditions )?of (?:the )?{}"),
+    (80, 0.95, tuple(f"{verb} {by}" for verb in "licensed released distributed available published provided covered".split() for by in ("under", "by")), r"(?:licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?{}(?: (?:version|v) ?[0-9]+(?: [0-9]+)*)?"),
+    (75, 0.95, ("under terms", "under the terms", "under conditions", "under the conditions"), r"under (?:the )?(?:terms|conditions) (?:and conditions )?of (?:the )?{}"),
     (70, 0.9, ("licens", "licenc"), r"licen[cs]es? {}"),
-    (65, 0.9, ("version", " v2", " v3"), r"{} (?:version|v) ?[0-9]+(?: [0-9]+)*(?: or (?:any )?later(?: version)?)?"),
+    (65, 0.9, (" version", *(f" v{space}{digit}" for space in ("", " ") for digit in range(10))), r"{} (?:version|v) ?[0-9]+(?: [0-9]+)*(?: or (?:any )?later(?: version)?)?"),
     (60, 0.85, ("copying", "license file", "notice"), r"{} see (?:the )?(?:copying|license file|notice)"),
-    (55, 0.85, ("dual licensed", "either the", "either under"), r"(?:dual licensed|either) (?:under )?(?:the )?{} or"),
+    (55, 0.85, ("dual licensed ", "either "), r"(?:dual licensed|either) (?:under )?(?:the )?{} or"),
 ]
 #: Sentences of license texts; label, priority, weight, keyword, pattern.
 SENTENCES = [

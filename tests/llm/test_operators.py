@@ -59,6 +59,17 @@ def test_license_scan(docs, none):
     assert len(license_scan.rules()) > 200 and license_scan.license_scan(none).count() == 0
 
 
+def test_license_keywords_lose_no_rule():
+    texts = ["EUPL v1.2", "MPL v1.1 or later", "EPL v1.0", "CC BY v4.0", "GPL v 3", "under the terms of the GPL", "released under the MIT", "distributed under the LGPL", "covered by MIT", "either MIT or Apache", "dual-licensed MIT or GPL", "zlib see notice", "BSD version2", "expat v9", "nothing here"]
+    texts += [f"the text {a} {b} it" for a in ("published under", "available by the terms of", "under conditions of", "either the", "licences") for b in ("gpl v2 or later", "ISC or MIT", "mozilla public license version 2.0")]
+    for text in texts:
+        line = b" ".join(license_scan.words_of(text))
+        found = {(m.start(), m.end(), r.label, r.weight, r.priority) for r in license_scan.rules() for m in re.finditer(rb"(?<![^ ])" + r.pattern.encode() + rb"(?![^ ])", line)}
+        better = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (-y[4], y[0] - y[1], y[0], y[2]) < (-x[4], x[0] - x[1], x[0], x[2])
+        want = {x[:4] for x in found if not any(better(x, y) for y in found)}
+        assert set(license_scan.detections(line)) == want and bool(want) == (text != "nothing here"), text
+
+
 def test_license_suppression():
     line = b" ".join(license_scan.words_of("licensed under the GNU Lesser General Public License version 3"))
     assert {x[2] for x in license_scan.detections(line)} == {"lgpl"}
