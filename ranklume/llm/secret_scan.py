@@ -3,7 +3,7 @@
 Matches get their places from a text cut at them: the lengths of what stands
 between and of the matches themselves add up. Strong matches are reported as
 they are. Weak candidates (user names, bare tokens, endpoints) are reported
-only where a complementary part starts within the same scope, found by an
+only where a complementary part stands within the same scope, found by an
 interval join that sweeps a document's parts in order, once each way.
 """
 
@@ -20,13 +20,15 @@ STRONG = [
 ]
 #: Weak kinds; pattern, least length, and the part that each is.
 WEAK = [
-    ("user", r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,64}""", 0, 1),
-    ("opaque", r"\b(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64}\b", 0, 1),
-    ("endpoint", r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,256}", 0, 1),
+    ("user", r"""(?i:user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}""", 0, 1),
+    ("opaque", r"\b(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}\b", 0, 1),
+    ("endpoint", r"(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,}", 0, 1),
 ]
 #: What completes each weak kind. A strong match is a secret, an access key is an identifier.
 COMPLETES = {"user": ("assign", "hex", "opaque"), "opaque": ("user", "access", "endpoint"), "endpoint": ("assign", "access", "opaque")}
 ORDER = [k for k, *_ in STRONG + WEAK]
+#: Further than any text reaches.
+FAR = 1 << 40
 SPANS = "array<struct<start:bigint,rank:int,stop:bigint>>"
 
 
@@ -57,9 +59,10 @@ def scanned(docs: DataFrame) -> DataFrame:
     return out.withColumn("strong", strong).withColumn("weak", weak).drop(*[f"_{k}" for k in ORDER])
 
 
-def _sweep(parts: Column, scope: int) -> Column:
-    """Each part, and whether a part that completes it started at most ``scope`` before; parts in order of start."""
-    last = F.struct(*[F.lit(-1 - scope).cast("long").alias(k) for k in ORDER])
+def _sweep(parts: Column, scope: int, back: bool = False) -> Column:
+    """Each part, and whether a part that completes it ended at most ``scope`` before its start; parts in order of start.
+    ``back``: whether one starts at most ``scope`` after its end; parts in reverse order."""
+    last = F.struct(*[F.lit(FAR if back else -1 - scope).cast("long").alias(k) for k in ORDER])
     kind = "array<struct<start:bigint,rank:int,stop:bigint,linked:boolean>>"
 
     def step(acc: Column, p: Column) -> Column:
@@ -67,19 +70,20 @@ def _sweep(parts: Column, scope: int) -> Column:
         for weak, others in COMPLETES.items():
             near = F.lit(False)
             for other in others:
-                near = near | (F.abs(p["start"] - acc["last"][other]) <= scope)
+                gap = acc["last"][other] - p["stop"] if back else p["start"] - acc["last"][other]
+                near = near | (gap <= scope)
             linked = F.when(p["rank"] == ORDER.index(weak), near).otherwise(linked)
         row = F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["stop"].alias("stop"), linked.alias("linked"))
-        seen = F.struct(*[F.when(p["rank"] == i, p["start"]).otherwise(acc["last"][k]).alias(k) for i, k in enumerate(ORDER)])
+        seen = F.struct(*[F.when(p["rank"] == i, p["start"] if back else F.greatest(p["stop"], acc["last"][k])).otherwise(acc["last"][k]).alias(k) for i, k in enumerate(ORDER)])
         return F.struct(seen.alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     return F.aggregate(parts, F.struct(last.alias("last"), F.array().cast(kind).alias("out")), step)["out"]
 
 
 def linked_spans(strong: Column, weak: Column, scope: int = 200) -> Column:
-    """All strong spans and the weak ones that a complementary part within ``scope`` code points completes, by start, then kind."""
+    """All strong spans and the weak ones that a complementary part completes with at most ``scope`` code points between the two, by start, then kind."""
     parts = F.array_sort(F.concat(strong, weak))
-    both = F.arrays_zip(_sweep(parts, scope).alias("f"), F.reverse(_sweep(F.reverse(parts), scope)).alias("b"))
+    both = F.arrays_zip(_sweep(parts, scope).alias("f"), F.reverse(_sweep(F.reverse(parts), scope, back=True)).alias("b"))
     n = len(STRONG)
     kept = F.transform(F.filter(both, lambda x: (x["f"]["rank"] < n) | x["f"]["linked"] | x["b"]["linked"]), lambda x: F.struct(x["f"]["start"].alias("start"), x["f"]["rank"].alias("rank"), x["f"]["stop"].alias("stop")))
     return F.when(F.size(weak) == 0, strong).otherwise(kept)

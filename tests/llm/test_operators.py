@@ -256,6 +256,17 @@ def test_secrets(spark, docs):
     assert kinds(5) == ["user", "endpoint", "opaque"] and kinds(6) == []
 
 
+def test_secrets_of_any_length(spark):
+    key = "aB3+" * 22
+    url = "https://db.example.com/" + "x" * 300 + "?sig=" + "q" * 100
+    texts = ["login = " + "z" * 80 + " " + key + "9", url + "\n" + "Qx7vT9mPq2Lr8sWz4Kb1" * 4, "Qx7vT9mPq2Lr8sWz4Kb1" * 4 + " " * 190 + url, "Qx7vT9mPq2Lr8sWz4Kb1" + " " * 201 + url]
+    out = secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"] for r in out.select("doc_id", secret_scan.listed(F.col("spans")).alias("spans")).collect()}
+    assert got[0] == f"user:0:88,opaque:89:{89 + 89}"
+    assert got[1] == f"endpoint:0:{len(url)},opaque:{len(url) + 1}:{len(texts[1])}"
+    assert got[2] == f"opaque:0:80,endpoint:270:{270 + len(url)}" and got[3] == ""
+
+
 def test_simhash(docs, none):
     got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.components(docs).collect()}
     prints = {}
