@@ -127,8 +127,8 @@ def _jaccard(a: str | None, b: str | None, width: int) -> float:
 
 #: Slots (a power of 2) in which shingles are counted, in CHUNKS parts; the bits of a parity map; words whose hashes a task keeps at hand.
 SLOT_BITS, CHUNKS, PARITY, MEMO = 21, 64, 512, 300_000
-#: Pairs that are compared at once, whatever their number by key: some, and some for each row.
-PAIRS, PAIRS_A_ROW = 1_000_000, 8
+#: The most members of a key that are compared all at once, and the part of the pairs that a round has to leave at most to go on with leaders.
+CROWD, LEFT = 16, 0.8
 
 
 class Shingles(dict):
@@ -196,7 +196,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     ``similarity`` (above 0) or more, are a group; no such pair is missed. Two sets that alike share one of their first shingles in any
     order of all shingles (a prefix of 1 - ``similarity`` of a set), so all who share one are compared, unless they are in one
     group already or their sizes or parity maps prove them apart. In crowded keys a member that meets most others is
-    compared with all and removed, as long as that halves the pairs left. Null texts are empty, and empty texts are copies of each other.
+    compared with all and removed, as long as that takes a fair part of the pairs of different groups. Null texts are empty, and empty texts are copies of each other.
     Rows without doc_id are in no group; rows of one doc_id are one document, other columns are not read.
     """
     spark = docs.sparkSession
@@ -235,10 +235,11 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         placed, new = staged(placed, "wide-shared")
         dropped(spark, path)
         path = new
-        rows, pairs = placed.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0))).first()
+        apart = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"))
+        rows, pairs = apart.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr(f"case when n > {CROWD} then (n * n - within) / 2 end")), F.lit(0))).first()
         if not rows:
             break
-        last = pairs <= PAIRS + PAIRS_A_ROW * rows or before is not None and pairs > before / 2
+        last = not pairs or before is not None and pairs > LEFT * before
         if last:
             one, two = placed.select("key", "id", "root").hint("merge"), placed.select("key", F.col("id").alias("b"), F.col("root").alias("of"))
             met = one.join(two, "key").where("id < b and root <> of")

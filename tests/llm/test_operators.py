@@ -348,8 +348,7 @@ def edited_texts():
 @pytest.mark.parametrize("few", [False, True])
 def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, few):
     if few:  # crowded keys: lead and remove first
-        monkeypatch.setattr(simhash, "PAIRS", 0)
-        monkeypatch.setattr(simhash, "PAIRS_A_ROW", 0)
+        monkeypatch.setattr(simhash, "CROWD", 1)
     texts = edited_texts()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["group"] for r in simhash.near_groups(df).collect()}
