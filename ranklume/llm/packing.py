@@ -1,13 +1,14 @@
 """Best-fit packing by a configuration linear program over the length histogram.
 
 Multiplicative weights price lengths, a knapsack over token counts finds the
-fullest configuration at those prices, and the mixture is rounded down; what
-rounding leaves is packed best-fit decreasing over what is left of the
-histogram. Pieces then find their places by rank within their length.
+best configurations at those prices, and their mixture is rounded down to
+whole sequences; what rounding leaves is solved again, and what is left at
+last is packed greedily. Pieces then find their places by rank within their length.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -24,9 +25,13 @@ from pyspark.sql.window import Window
 from .common import small_batches, staged
 
 #: Times that the linear program is solved, each time for what rounding has left.
-TURNS = 2
-#: Parts of a mixture, one after the other.
-SHARES = (0.5, 0.25, 0.25, 0.25, 0.25, 0.5, 1.0, 1.0)
+TURNS = 4
+#: How far below the best a configuration's price may be: while prices form, and at most while the mixture does.
+NEAR, SLACK = 0.05, 0.01
+#: The part of the pieces that a turn of the mixture has to move to go on at the same slack; weight of the lengths' shares in first prices.
+LEAST, TIE = 0.005, 1e-3
+#: The part of the pieces from which on a length is hot.
+HOT = 0.01
 #: Words, and cores of words, whose ids a task keeps at hand: the first it meets, so mostly the frequent ones.
 MEMO = 400_000
 #: White space that Python or the tokenizer, but not both for sure, splits at.
@@ -37,14 +42,30 @@ MARKS = ".,;:!?$%&*#|)"
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]+")
 
 
+#: How a tokenizer has to cut texts for its words to be encoded apart.
+NORMAL, CUTS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_spaces(said: dict) -> bool:
+    """Whether a tokenizer's description lower-cases, cuts at white space and between letters and marks, and knows no other rule."""
+    kinds = lambda part, key: [x["type"] for x in ((said.get(part) or {}).get(key) or [])]
+    if kinds("normalizer", "normalizers") != NORMAL or kinds("pre_tokenizer", "pretokenizers") != CUTS:
+        return False
+    split, model = said["pre_tokenizer"]["pretokenizers"][0], said["model"]
+    return split["pattern"] == {"Regex": RUNS} and model["type"] == "BPE" and not model["ignore_merges"] and not model["byte_fallback"] and not said["post_processor"]
+
+
 class Words(dict):
-    """The id bytes of words between white space. The tokenizer joins nothing across white space, nor letters with marks,
-    so a word of letters and final marks is encoded by the model alone, in two parts; any other by the whole tokenizer."""
+    """The id bytes of words between white space. A tokenizer that cuts there and between letters and marks joins nothing across,
+    so a word of letters and final marks is encoded by the model alone, in two parts; any other by the whole tokenizer.
+    Texts of any other tokenizer are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = cuts_at_spaces(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
@@ -73,6 +94,8 @@ class Words(dict):
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a whole text."""
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, PLAIN_SPACE.split(text) if ODD_SPACE.search(text) else text.split()))
 
 
@@ -107,7 +130,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 @dataclass
 class Plan:
-    """Configurations (how many pieces of each length) with the number of sequences of each, the bound that prices prove, and the sequences that the linear program made."""
+    """Configurations (how many pieces of each length) with the number of sequences of each, the bound that prices prove, and the pieces that the linear program placed."""
 
     configurations: list[tuple[dict[int, int], int]]
     bound: float
@@ -118,106 +141,163 @@ class Plan:
         return sum(n for _, n in self.configurations)
 
 
-def fullest(value: np.ndarray, lengths: np.ndarray, size: int, most: np.ndarray) -> tuple[dict[int, int], float]:
-    """The best configuration at the prices ``value`` of lengths, by dynamic programming over token counts; at most ``most`` of a length."""
-    best = np.zeros(size + 1)
-    pick = np.full(size + 1, -1)
-    for c in range(1, size + 1):
-        k = int(np.searchsorted(lengths, c, side="right"))
-        best[c], pick[c] = best[c - 1], -1
-        if k:
-            v = best[c - lengths[:k]] + value[:k]
-            j = int(np.argmax(v))
-            if v[j] > best[c] + 1e-15:
-                best[c], pick[c] = v[j], j
-    found: dict[int, int] = {}
-    c = size
-    while c > 0:
-        j = int(pick[c])
-        if j < 0:
-            c -= 1
-            continue
-        found[j] = found.get(j, 0) + 1
-        c -= int(lengths[j])
-    for j in [j for j in found if found[j] > most[j]]:
-        found[j] = int(most[j])
-    return found, float(best[size])
-
-
-def _mixture(left: dict[int, int], size: int, rounds: int, rate: float, whole: dict[int, int]) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """Full configurations of the pieces left, rounded down, and the bound that the prices prove for ``whole``.
-
-    The mixture is scaled to all that is left. Scarce lengths cap the configurations that hold them, no others.
+class Pricing:
+    """The knapsack over token counts at the prices of lengths (ascending), no more pieces of a length than ``counts`` has.
+
+    One table serves all columns: ``value[j]`` is the best price of a configuration whose longest piece is j, and
+    ``column(j)`` that configuration; of equal ones that of longer pieces, if asked. ``top`` is the best price of all.
     """
-    lengths = np.array(sorted(left), int)
-    wanted, all_ = (np.array([of[int(n)] for n in lengths], float) for of in (left, whole))
-    bound = 0.0
-    load = np.zeros(len(lengths))  # times each length is in the mixture so far
-    used: dict[tuple, int] = {}
-    log_weight = np.zeros(len(lengths))
-    for t in range(rounds):
-        # a length's price falls as the mixture covers its share; prices start from the lengths themselves
-        price = lengths / size * np.exp(log_weight)
-        found, value = fullest(price, lengths, size, wanted)
-        if value > 0:
-            bound = max(bound, float(price @ all_) / value)
-        used[tuple(sorted(found.items()))] = used.get(tuple(sorted(found.items())), 0) + 1
-        for j, n in found.items():
-            load[j] += n
-        cover = load / wanted * wanted.sum() / max(load.sum(), 1)
-        log_weight = np.clip(-rate * np.sqrt(t + 1) ** 0.5 * (cover - 1), -12, 4)
-    scale = float(wanted @ lengths) / size / rounds
-    full = [(key, times) for key, times in sorted(used.items(), key=lambda x: (-x[1], x[0])) if sum(lengths[j] * k for j, k in key) >= 0.999 * size]
-    out = []
-    for share in SHARES:  # what scarce lengths keep from one configuration, others of the mixture share
-        for key, times in full:
-            n = int(min(times * scale * share, min(wanted[j] // k for j, k in key)))
+
+    def __init__(self, price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, size: int, longer: bool = False):
+        self.lengths, self.size = lengths.tolist(), size
+        self.items: list[tuple[int, int]] = []  # 1, 2, 4, .. and the rest of a length's other pieces make every number of them; one piece is last
+        self.final, self.value = [], np.zeros(len(lengths))
+        most = np.minimum(counts, size // lengths).tolist()
+        for j, held in enumerate(most):
+            left, step = held - 1, 1
+            while left > 0:
+                self.items.append((j, min(step, left)))
+                left, step = left - step, 2 * step
+            self.final.append(len(self.items))
+            self.items.append((j, 1))
+        best = np.zeros(size + 1)
+        self.last = np.full((len(self.items) + 1, size + 1), -1, np.int16)  # by items so far and tokens: the last item that is taken
+        for i, (j, k) in enumerate(self.items):
+            if i == self.final[j]:
+                self.value[j] = price[j] + best[size - self.lengths[j]]
+            held = k * self.lengths[j]
+            new = best[: size + 1 - held] + k * price[j]
+            better = new > best[held:] + (-1e-12 if longer else 1e-12)
+            self.last[i + 1] = self.last[i]
+            self.last[i + 1, held:][better] = i
+            best[held:] = np.where(better, new, best[held:])
+        self.top = float(best[size])
+
+    def column(self, j: int, room: int | None = None) -> dict[int, int]:
+        """j as the longest piece and the best pieces for what it leaves of the room, a whole sequence by default."""
+        found, i, room = {j: 1}, self.final[j], (self.size if room is None else room) - self.lengths[j]
+        while (i := int(self.last[i, room])) >= 0:
+            k, n = self.items[i]
+            found[k] = found.get(k, 0) + n
+            room -= n * self.lengths[k]
+        return found
+
+
+def _first_prices(lengths: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+    """Prices under which no configuration is worth over 1, and what they prove: a length's share of a sequence, or that share
+    stepped at thirds, quarters, .. where this proves more. A little of the share itself settles ties for fuller configurations of fewer pieces."""
+    share = lengths / size
+    best, bound = share, float(share @ counts)
+    for k in range(1, 12):
+        stepped = np.where((k + 1) * lengths % size == 0, share, (k + 1) * lengths // size / k)
+        if float(stepped @ counts) > bound * (1 + 1e-6):
+            best, bound = stepped, float(stepped @ counts)
+    return (1 - TIE) * best + TIE * share - 1e-6, bound
+
+
+def prices(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int, rate: float) -> tuple[np.ndarray, float]:
+    """Prices of lengths by multiplicative weights, such that no configuration is worth over 1, and the bound that they prove.
+
+    In each round the configurations that are nearly the best at the present prices are mixed until their lengths' shares
+    of the round are used up; then a length's price grows by what the mixture so far lacks of it. The round of the best bound counts.
+    """
+    start, bound = _first_prices(lengths, counts, size)
+    best, weight, load = start, np.ones(len(lengths)), np.zeros(len(lengths))
+    for t in range(1, rounds + 1):
+        price = start * weight
+        table = Pricing(price, lengths, counts, size)
+        if table.top <= 0:
+            break
+        proven = float(price @ counts) / table.top
+        if proven > bound:
+            bound, best = proven, price / table.top
+        room = counts * (t / rounds) - load
+        for j in np.flatnonzero(table.value >= (1 - NEAR) * table.top)[::-1].tolist():
+            if room[j] > 0:
+                found = table.column(j)
+                step = min(room[k] / n for k, n in found.items())
+                for k, n in found.items():
+                    room[k] -= n * step
+                    load[k] += n * step
+        weight = weight * np.exp(rate * (1 - load / (counts * (t / rounds))))
+        weight /= weight.max()
+    return best, bound
+
+
+def _mixed(price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, size: int, longer: bool) -> list[tuple[dict[int, int], int]]:
+    """Configurations that are worth all but 1 at the prices, as the program's best mixture has no others, each a whole number of
+    times; ``counts`` keeps what rounding leaves. The slack grows as far as SLACK when a turn moves too little."""
+    out, slack = [], 1e-5
+    while counts.any():
+        use = np.flatnonzero(counts)
+        own = price[use]
+        table = Pricing(own, lengths[use], counts[use], size, longer)
+        have, total = counts[use].copy(), counts.sum()
+
+        def take(found: dict[int, int]) -> None:
+            n = int(min(have[k] // m for k, m in found.items()))
             if n:
-                out.append(({int(lengths[j]): k for j, k in key}, n))
-                for j, k in key:
-                    wanted[j] -= n * k
-    return out, bound
+                for k, m in found.items():
+                    have[k] -= n * m
+                out.append(({table.lengths[k]: m for k, m in found.items()}, n))
+
+        for j in np.flatnonzero(table.value >= 1 - slack)[::-1].tolist():
+            if have[j]:
+                found = table.column(j)
+                take(found)
+                if have[j] > HOT * total:  # a length with so many pieces goes on with every length that fits beside it, before shorter ones take those
+                    held, had = found[j] * table.lengths[j], have[j]
+                    for k in range(j - 1, -1, -1):
+                        if have[k] and table.lengths[k] <= size - held:
+                            found = {j: found[j]} | table.column(k, size - held)
+                            if have[j] >= found[j] and sum(m * own[k] for k, m in found.items()) >= 1 - slack:
+                                take(found)
+                    if had - have[j] > LEAST * total:
+                        break
+        moved, before = counts[use].sum() - have.sum(), counts[use].sum()
+        counts[use] = have
+        if moved < LEAST * before:
+            if slack >= SLACK:
+                break
+            slack = min(SLACK, 4 * slack)
+    return out
 
 
-def packed(histogram: dict[int, int], size: int = 2048, rounds: int = 400, rate: float = 0.5) -> Plan:
+def packed(histogram: dict[int, int], size: int = 2048, rounds: int = 16, rate: float = 0.5) -> Plan:
     """Sequences of at most ``size`` tokens for ``histogram`` (pieces of each length 1 to ``size``).
 
-    At most ``size`` lengths and ``rounds`` configurations, however many pieces there are.
+    The configuration linear program is solved, its mixture rounded down, and what is left is a smaller program; what the last
+    of TURNS programs leaves is packed greedily. Work depends on the number of lengths, not on that of pieces.
     """
-    configurations: list[tuple[dict[int, int], int]] = []
-    mixed = 0
-    left = {n: c for n, c in histogram.items() if c > 0}
-    if left.get(size):
-        configurations.append(({size: 1}, left.pop(size)))
-    whole = sum(n * c for n, c in left.items()) / size
-    bound = whole
-    if left:
-        # each turn solves for what its predecessors' rounding has left
-        rest, floored = dict(left), []
-        for _ in range(TURNS):
-            if not rest:
-                break
-            mixture, proven = _mixture(rest, size, max(1, rounds // TURNS), rate, left)
-            bound = max(bound, proven)
-            for found, n in mixture:
-                floored.append((found, n))
-                for length, k in found.items():
-                    rest[length] -= n * k
-                    if not rest[length]:
-                        del rest[length]
-        mixed = sum(n for _, n in floored)
-        floored += _rest(rest, size)
-        # with a few pieces of each length all fractions may be better rounded down to nothing
-        unmixed = _best_fit(left, size)
-        if sum(n for _, n in floored) <= sum(n for _, n in unmixed):
-            configurations += floored
-        else:
-            configurations, mixed = configurations + unmixed, 0
-    merged: dict[tuple, int] = {}
-    for found, n in configurations:
+    short = {n: c for n, c in histogram.items() if c > 0 and n < size}
+    plans = [_programs(short, size, rounds, rate, longer) for longer in (False, True)]
+    best = min(plans, key=lambda plan: plan.sequences)
+    merged: dict[tuple, int] = {((size, 1),): histogram[size]} if histogram.get(size) else {}
+    for found, n in best.configurations:
         key = tuple(sorted(found.items()))
         merged[key] = merged.get(key, 0) + n
-    return Plan([(dict(k), n) for k, n in sorted(merged.items())], bound + histogram.get(size, 0), mixed)
+    return Plan([(dict(k), n) for k, n in sorted(merged.items())], max(plan.bound for plan in plans) + histogram.get(size, 0), best.mixed)
+
+
+def _programs(left: dict[int, int], size: int, rounds: int, rate: float, longer: bool) -> Plan:
+    """The plan for pieces under ``size``, where equal configurations are settled for fewer or for longer pieces."""
+    out = Plan([], 0.0)
+    for turn in range(TURNS):
+        if not left:
+            break
+        lengths = np.array(sorted(left), int)
+        counts = np.array([left[n] for n in lengths.tolist()], np.int64)
+        price, proven = prices(lengths, counts, size, rounds, rate)
+        if not turn:
+            out.bound = proven
+        found = _mixed(price, lengths, counts, size, longer)
+        out.configurations += found
+        out.mixed += sum(n * sum(c.values()) for c, n in found)
+        left = {n: c for n, c in zip(lengths.tolist(), counts.tolist(), strict=True) if c}
+        if not found:
+            break
+    out.configurations += _rest(left, size)
+    return out
 
 
 def _rest(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:

@@ -2,10 +2,13 @@
 
 import hashlib
 import itertools
+import json
+import math
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -103,22 +106,66 @@ def test_plan_is_near_its_bound(histogram):
     assert plan.bound - 1e-6 <= plan.sequences <= 1.01 * plan.bound + 3
 
 
-def lognormal_histogram(n):
-    found: dict[int, int] = {}
-    for x in np.minimum(np.exp(np.random.default_rng(0).normal(5.6, 1.0, n)).astype(int) + 1, 2048).tolist():
+def lengths_of(sf):
+    words, found = packing.Words(tokenizer_path()), {}
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(words.ids(text or "")) // 4 + 1
+        for at in range(0, n, 2048):
+            found[min(2048, n - at)] = found.get(min(2048, n - at), 0) + 1
+    return found
+
+
+def skewed_histogram(hot):
+    found = {700: hot}
+    for x in np.minimum(np.exp(np.random.default_rng(0).normal(5.6, 1.0, 10_000)).astype(int) + 1, 2047).tolist():
         found[x] = found.get(x, 0) + 1
     return found
 
 
-def test_the_linear_program_packs_a_real_histogram():
-    histogram = lognormal_histogram(20_000)
+@pytest.mark.parametrize("times", [1, 100])
+def test_the_linear_program_packs_the_documents(times):
+    histogram = {n: c * times for n, c in lengths_of("sf0.1").items()}
     plan = packing.packed(histogram)
     used: dict[int, int] = {}
     for found, n in plan.configurations:
         assert sum(k * c for k, c in found.items()) <= 2048
         for k, c in found.items():
             used[k] = used.get(k, 0) + c * n
-    assert used == histogram and plan.sequences <= plan.bound + 2 and plan.mixed >= 0.3 * plan.sequences
+    short = sum(c for n, c in histogram.items() if n < 2048)
+    assert used == histogram and plan.sequences <= math.ceil(plan.bound) + 1 and plan.mixed >= 0.95 * short
+
+
+def test_the_linear_program_packs_a_hot_length():
+    histogram = skewed_histogram(5_000)
+    plan = packing.packed(histogram)
+    assert plan.sequences <= 1.005 * plan.bound + 1 and plan.mixed >= 0.95 * sum(histogram.values())
+
+
+def test_prices_prove_their_bound():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        lengths = np.unique(rng.integers(1, 40, 6))
+        counts = rng.integers(1, 5, len(lengths))
+        price, bound = packing.prices(lengths, counts, 40, 8, 0.5)
+        worth = max(sum(n * p for n, p in zip(c, price, strict=True)) for c in itertools.product(*(range(n + 1) for n in counts)) if sum(n * x for n, x in zip(c, lengths, strict=True)) <= 40)
+        assert worth <= 1 + 1e-9 and float(price @ counts) <= bound + 1e-9
+        table = packing.Pricing(price, lengths, counts, 40)
+        assert table.top == pytest.approx(worth, abs=1e-9)
+        for j in range(len(lengths)):
+            found = table.column(j)
+            assert max(found) == j and all(n <= counts[k] for k, n in found.items()) and sum(n * lengths[k] for k, n in found.items()) <= 40
+            assert sum(n * price[k] for k, n in found.items()) == pytest.approx(table.value[j], abs=1e-9)
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+
+    said = json.loads(Tokenizer.from_file(tokenizer_path()).to_str())
+    said["normalizer"] = None
+    (tmp_path / "cased.json").write_text(json.dumps(said))
+    words = packing.Words(str(tmp_path / "cased.json"))
+    assert not words.by_words and words.ids("Ab CD") == np.array(words.tokenizer.encode("Ab CD", add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.Words(tokenizer_path()).by_words
 
 
 def test_ids_of_words_are_those_of_texts():
