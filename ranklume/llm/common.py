@@ -63,6 +63,14 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
     """A broadcast value, to be called for on executors; its classes travel with it."""
     held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -139,4 +147,4 @@ def maybe_among(ids: DataFrame, key: str) -> Callable[[F.Column], F.Column]:
     return lambda column: test(F.xxhash64(column))
 
 
-__all__ = ["T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "maybe_among", "salted_lookup", "sent", "shared_folder", "small_batches", "staged", "table"]
+__all__ = ["T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "maybe_among", "salted_lookup", "sent", "shared_folder", "small_batches", "staged", "table", "unused"]

@@ -8,7 +8,6 @@ link verified, and the links' components are the groups.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, dropped, maybe_among, salted_lookup, sent, small_batches, staged
+from .common import connected_components, dropped, maybe_among, salted_lookup, small_batches, staged, unused
 
 SEED = 42
 
@@ -96,39 +95,17 @@ def components(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     return prints.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: their bits, and the least bytes of a word that counts.
-WIDE, LONG_WORD = 256, 6
-
-
-def wide_simhash(text: str | None) -> tuple[int, int, int, int]:
-    """256 bits of SimHash over a text's distinct long words (over all words and pairs of words if it has under 8 of them), as four signed longs.
-
-    Edits of single words move few of these features, and unlike texts share few; what is alike is then measured on
-    five-word shingles. Texts without words have 0.
-    """
-    words = (text or "").encode().lower().split()
-    found = {w for w in words if len(w) >= LONG_WORD}
-    if len(found) < 8:
-        found = {*words, *(a + b" " + b for a, b in zip(words, words[1:], strict=False))}
-    if not found:
-        return 0, 0, 0, 0
-    digest = xxhash.xxh128_digest
-    raw = np.frombuffer(b"".join([digest(w, 1) + digest(w, 2) for w in found]), np.uint8).reshape(-1, WIDE // 8)
-    counts = np.zeros(WIDE, np.int64)
-    for at in range(0, len(raw), 1 << 12):
-        counts += np.unpackbits(raw[at : at + (1 << 12)], axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return tuple(np.packbits(2 * counts > len(raw), bitorder="little").view(np.int64).tolist())
-
-
 def _jaccard(a: str | None, b: str | None, width: int) -> float:
     x, y = set(shingles(a, width)), set(shingles(b, width))
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-#: Slots (a power of 2) in which shingles are counted, in CHUNKS parts; the bits of a parity map; words whose hashes a task keeps at hand.
-SLOT_BITS, CHUNKS, PARITY, MEMO = 21, 64, 512, 300_000
-#: The most members of a key that are compared all at once, and the part of the pairs that a round has to leave at most to go on with leaders.
-CROWD, LEFT = 16, 0.8
+#: Keys of a set and the minima in each; words whose hashes a task keeps at hand; shingles whose permutations are held at once.
+BANDS, ROWS, MEMO, AT_ONCE = 20, 6, 300_000, 4096
+#: Bits of a parity map.
+PARITY = 512
+#: The most members of a key that are compared all with all; leaders that a set is compared with in one turn; turns at a level; levels.
+CROWD, LEADERS, TURNS, LEVELS = 16, 4, 2, 4
 
 
 class Shingles(dict):
@@ -155,111 +132,120 @@ class Shingles(dict):
         return np.unique(mixed * np.uint64(0xBF58476D1CE4E5B9))
 
 
-def _levels(docs: DataFrame, width: int) -> np.ndarray:
-    """How frequent each slot's shingles are, by an eighth of a power of 2: a table of fixed size however many documents there are."""
+class Minima:
+    """Keys of a set of hashes: the minima of BANDS times ROWS permutations, ROWS in a key. Two sets share one minimum with the probability of their Jaccard similarity."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = Shingles(), np.zeros(1 << SLOT_BITS, np.uint32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(counts, (hashes(text, width) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-        for k, part in enumerate(np.split(counts, CHUNKS)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
-        for k, n in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.round(8 * np.log2(1 + n)).clip(0, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
-
-    schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(total, schema).collect()
-    levels = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint8)
-    for r in rows:
-        levels[r["part"]] = np.frombuffer(r["counts"], np.uint8)
-    return levels.reshape(-1)
+    def __init__(self, level: int):
+        rng = np.random.default_rng(SEED + level)
+        self.odd = rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.flip = rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
-
-def _prefix(h: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
-    """The first of a set's shingles in one order for all sets, rare ones first: as many as leave too few others for two alike sets to share none of the first."""
-    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
-    order = levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
-    return (np.partition(order, n - 1)[:n] if 0 < n < len(order) else order).view(np.int64)
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return np.zeros(0, np.int64)
+        x = (h >> np.uint64(32)).astype(np.uint32)[:, None]
+        least = np.min([((x[at : at + AT_ONCE] ^ self.flip) * self.odd).min(0) for at in range(0, len(x), AT_ONCE)], axis=0).astype(np.uint32)
+        return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id of every document with a group of others, and ``group``, the smallest doc_id of it.
 
     Documents of equal sets of ``width``-word shingles, or linked by a chain of texts whose sets have a Jaccard similarity of
-    ``similarity`` (above 0) or more, are a group; no such pair is missed. Two sets that alike share one of their first shingles in any
-    order of all shingles (a prefix of 1 - ``similarity`` of a set), so all who share one are compared, unless they are in one
-    group already or their sizes or parity maps prove them apart. In crowded keys a member that meets most others is
-    compared with all and removed, as long as that takes a fair part of the pairs of different groups. Null texts are empty, and empty texts are copies of each other.
-    Rows without doc_id are in no group; rows of one doc_id are one document, other columns are not read.
+    ``similarity`` (above 0) or more, are a group. Candidates share a key of ROWS minima, which two sets of similarity 0.8 do with a
+    probability of 0.998 and more alike ones more often; every link is verified on whole texts. Null texts are empty, and empty
+    texts are copies of each other. Rows without doc_id are in no group; rows of one doc_id are one document, other columns are not read.
+
+    Work is linear in the rows of a key: members of small keys are all compared, those of crowded ones with their keys' leaders, the sets that
+    meet most others. What then shares a crowded key with sets of other groups gets keys of more minima, which unlike sets no longer share.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    levels = sent(spark, _levels(docs, width))
     words = PARITY // 64
+    maps = [f"p{i}" for i in range(words)]
+    names = ["doc_id", "hash", "id", "n", "keys", *maps]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = Shingles(), levels()
+        hashes, minima = Shingles(), Minima(0)
         for batch in batches:
             sets = [hashes(t, width) for t in batch.column(2).to_pylist()]
             prints = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets], pa.int64())
-            maps = np.array([np.packbits((np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64) for h in sets], np.int64).reshape(-1, words)
-            firsts = pa.array([_prefix(h, own, similarity) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, pa.array([len(h) for h in sets], pa.int64()), firsts, *(pa.array(maps[:, i]) for i in range(words))], [*names])
+            odd = np.array([np.packbits((np.bincount((h & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64) for h in sets], np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints, pa.array([len(h) for h in sets], pa.int64()), pa.array([minima(h) for h in sets], pa.list_(pa.int64())), *(pa.array(odd[:, i]) for i in range(words))], names)
 
-    maps = [f"p{i}" for i in range(words)]
-    names = ["doc_id", "hash", "id", "n", "first", *maps]
-    schema = "doc_id long, hash long, id long, n long, first array<long>, " + ", ".join(f"{m} long" for m in maps)
-    prints, _ = staged(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, schema), "wide")
+    schema = "doc_id long, hash long, id long, n long, keys array<long>, " + ", ".join(f"{m} long" for m in maps)
+    prints, _ = staged(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, schema), "near")
     # a row for each set; what is repeated in full may stay, as a set is never compared with itself
     reps = prints.groupBy("id").agg(F.min(F.struct("doc_id", "hash")).alias("r")).select("id", "r.doc_id", "r.hash")
-    sets, _ = staged(prints.join(reps, ["id", "doc_id", "hash"]), "wide-sets")
-    by = Window.partitionBy("key")
-    keys = sets.select("id", F.explode("first").alias("key")).withColumn("met", F.count("*").over(by)).where("met > 1")
-    keys, _ = staged(keys, "wide-keys")
-    shared, path = staged(keys.join(keys.groupBy("id").agg(F.sum("met").alias("meets")), "id").select("key", "id", "meets"), "wide-shared")
+    sets, _ = staged(prints.join(reps.hint("merge"), ["id", "doc_id", "hash"]), "near-sets")
     # sets of one document are of one group
-    links, _ = staged(prints.select("id", F.min("id").over(Window.partitionBy("doc_id")).alias("b")).where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "wide-same")
-    before = None
-    while True:
-        roots, _ = staged(connected_components(links, "wide-links"), "wide-roots")
-        placed = shared.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        placed = placed.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).where("low <> high").drop("low", "high")
-        placed, new = staged(placed, "wide-shared")
-        dropped(spark, path)
-        path = new
-        apart = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"))
-        rows, pairs = apart.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr(f"case when n > {CROWD} then (n * n - within) / 2 end")), F.lit(0))).first()
-        if not rows:
+    several = prints.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b < high").select("doc_id", "b")
+    links, _ = staged(prints.join(several, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near-same")
+    rows = _shared(sets.select("id", F.explode("keys").alias("key")))
+    for step in range(LEVELS * TURNS + 1):
+        placed = _apart(rows, links)
+        if step and step % TURNS == 0 and step < LEVELS * TURNS and not placed.isEmpty():
+            placed = _apart(_shared(_finer(docs, sets, placed, width, step // TURNS)), links)
+        if placed.isEmpty():
             break
-        last = not pairs or before is not None and pairs > LEFT * before
-        if last:
-            one, two = placed.select("key", "id", "root").hint("merge"), placed.select("key", F.col("id").alias("b"), F.col("root").alias("of"))
-            met = one.join(two, "key").where("id < b and root <> of")
-        else:
-            central = Window.partitionBy("key").orderBy(F.desc("meets"), "id")
-            lead = placed.withColumn("b", F.first("id").over(central)).withColumn("of", F.first("root").over(central))
-            met = lead.where("root <> of")
-            shared = lead.where("id <> b").select("key", "id", "meets")
-        found, _ = staged(_alike(docs, sets, met.select("id", "b"), maps, width, similarity), "wide-found")
+        # at last all with all: sets that share so many minima and are not alike are as good as none
+        crowded = F.col("n") > CROWD if step < LEVELS * TURNS else F.lit(False)
+        crowd, few = placed.where(crowded), placed.where(~crowded).select("key", "id", "root")
+        small = few.hint("merge").join(few.select("key", F.col("id").alias("b"), F.col("root").alias("of")), "key").where("id < b and root <> of").select("id", "b")
+        tried, _ = staged(_leaders(crowd), "near-tried")
+        found, _ = staged(_alike(docs, sets, tried.unionByName(small), maps, width, similarity), "near-found")
         links = links.unionByName(found)
-        if last:
-            break
-        before = pairs
-    roots = connected_components(links, "wide-links")
+        # who was compared with a key's leader goes on without it
+        after = crowd.join(tried.withColumnRenamed("b", "lead").withColumn("done", F.lit(True)).hint("merge"), ["id", "lead"], "left")
+        rows, _ = staged(after.select("id", F.when(F.col("done"), F.xxhash64("key", "lead")).otherwise(F.col("key")).alias("key"), "meets"), "near-rows")
+    roots = connected_components(links, "near-links")
     members = prints.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
-    members, _ = staged(members, "wide-members")
+    members, _ = staged(members, "near-members")
     lowest = members.groupBy("root").agg(F.min("doc_id").alias("group"), F.max("doc_id").alias("high")).where("high > group").select("root", "group")
     return members.join(lowest.hint("merge"), "root").select("doc_id", "group").distinct()
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Rows (id, key) of keys with several sets, and ``meets``, how many a set meets. Of keys with the same members one is enough."""
+    keyed, _ = staged(keyed.distinct(), "near-keyed")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("met"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("also")).where("met > 1")
+    sizes, _ = staged(sizes.groupBy("met", "who", "also").agg(F.min("key").alias("key")).select("key", "met"), "near-sizes")
+    rows, _ = staged(keyed.join(sizes.hint("merge"), "key"), "near-members")
+    meets = rows.groupBy("id").agg(F.sum("met").alias("meets"))
+    return staged(rows.select("id", "key").join(meets.hint("merge"), "id").select("id", "key", "meets"), "near-shared")[0]
+
+
+def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of keys whose sets are of several groups, with their ``root``, the key's number of sets and its leader (``lead``, ``of``)."""
+    roots, _ = staged(connected_components(links, "near-links"), "near-roots")
+    placed, _ = staged(rows.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-placed")
+    keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("meets", "id", "root")).alias("best")).where("low <> high")
+    keys, _ = staged(keys.select("key", "n", F.col("best.id").alias("lead"), F.col("best.root").alias("of"), F.col("best.meets").alias("led")), "near-apart")
+    return staged(placed.join(keys.hint("merge"), "key"), "near-open")[0]
+
+
+def _leaders(crowd: DataFrame) -> DataFrame:
+    """Pairs id, b: each set with the LEADERS of other groups that meet most others, of those that lead its keys."""
+    best = F.slice(F.sort_array(F.collect_set(F.struct("led", "lead")), asc=False), 1, LEADERS)
+    return crowd.where("root <> of").groupBy("id").agg(best.alias("x")).select("id", F.explode("x.lead").alias("b"))
+
+
+def _finer(docs: DataFrame, sets: DataFrame, placed: DataFrame, width: int, level: int) -> DataFrame:
+    """Rows (id, key) of finer keys: every key of the sets in it together with each of their keys of other minima."""
+    some, _ = staged(sets.select("id", "hash").dropDuplicates(["id"]).join(placed.select("id").distinct().hint("merge"), "id"), "near-some")
+    among = maybe_among(some, "hash")
+    texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).groupBy("hash").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, minima = Shingles(), Minima(level)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([minima(hashes(t, width)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "more"])
+
+    more, _ = staged(some.join(texts.hint("merge"), "hash").select("id", "text").mapInArrow(run, "id long, more array<long>"), "near-more")
+    return placed.select("id", "key").join(more.hint("merge"), "id").select("id", "key", F.explode("more").alias("more")).select("id", F.xxhash64("key", "more").alias("key"))
+
+
 def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str], width: int, similarity: float) -> DataFrame:
     """Pairs a, b of the candidates (id, b) whose texts are alike. Sizes and parity maps of the sets drop only pairs that cannot be."""
     # Spark takes exploded rows for few: none of them may be broadcast
@@ -270,11 +256,11 @@ def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str],
     # |x & y| >= J / (1 + J) (|x| + |y|), so the rest is at most (1 - J) / (1 + J) of both, and no fewer than the odd bits
     odd = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps)
     able = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
-    close, _ = staged(both.where(able).select("a", "b", "hash_a", "hash_b"), "wide-close")
+    close, _ = staged(both.where(able).select("a", "b", "hash_a", "hash_b"), "near-close")
     wanted = close.select(F.explode(F.array("hash_a", "hash_b")).alias("hash")).distinct()
     among = maybe_among(wanted, "hash")
-    texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).join(wanted, "hash").groupBy("hash").agg(F.min("text").alias("text"))
-    texts, _ = staged(texts, "wide-texts")
+    texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).groupBy("hash").agg(F.min("text").alias("text")).join(wanted, "hash")
+    texts, _ = staged(texts, "near-texts")
     both = close.join(texts.select(F.col("hash").alias("hash_a"), F.col("text").alias("t")), "hash_a").join(texts.select(F.col("hash").alias("hash_b"), F.col("text").alias("u")), "hash_b").select("a", "b", "t", "u")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +273,8 @@ def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str],
 
 def first_of_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs' rows without those of documents whose group (near_groups) has a smaller doc_id. All columns stay."""
-    gone, _ = staged(near_groups(docs, width, similarity).where("doc_id <> group").select(F.col("doc_id").alias("_gone")), "wide-gone")
-    maybe = docs.withColumn("_maybe", F.coalesce(maybe_among(gone, "_gone")(F.col("doc_id").cast("long")), F.lit(False)))
-    kept = maybe.where("_maybe").join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return maybe.where("not _maybe").unionByName(kept).drop("_maybe")
+    lost, passed = unused(docs, "gone"), unused(docs, "maybe")
+    gone, _ = staged(near_groups(docs, width, similarity).where("doc_id <> group").select(F.col("doc_id").alias(lost)), "near-gone")
+    maybe = docs.withColumn(passed, F.coalesce(maybe_among(gone, lost)(F.col("doc_id").cast("long")), F.lit(False)))
+    kept = maybe.where(F.col(passed)).join(gone.hint("merge"), F.col("doc_id") == F.col(lost), "left_anti")
+    return maybe.where(~F.col(passed)).unionByName(kept).drop(passed)
