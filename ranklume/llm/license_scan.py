@@ -9,10 +9,11 @@ detection of higher priority (or an equal one that is longer) is suppressed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -140,14 +141,26 @@ def words_of(text: str | None) -> list[bytes]:
     return WORDS.findall((text or "").encode().lower())
 
 
-def base_places(line: bytes) -> list[tuple[int, str]]:
+def positions(line: bytes) -> Callable[[int], int]:
+    """The position of the word that a byte of the joined words stands in; their spaces are looked up when first asked."""
+    spaces: list[np.ndarray] = []
+
+    def place(byte: int) -> int:
+        if not spaces:
+            spaces.append(np.flatnonzero(np.frombuffer(line, np.uint8) == 32))
+        return int(np.searchsorted(spaces[0], byte))
+
+    return place
+
+
+def base_places(line: bytes, place: Callable[[int], int]) -> list[tuple[int, str]]:
     """Word positions and labels of all places of the base phrases in the joined words."""
     out, padded = [], b" " + line + b" "
     for phrase, label in BASE:
         sought = b" " + phrase.encode() + b" "
         at = padded.find(sought)
         while at >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            out.append((place(at), label))
             at = padded.find(sought, at + 1)
     return out
 
@@ -197,14 +210,15 @@ def license_scan(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text)
                 line = b" ".join(words)
-                places = base_places(line) if b"license" in line else []
+                place = positions(line)
+                places = base_places(line, place) if b"license" in line else []
                 hits = detections(line)
                 base = sorted({label for _, label in places})
                 miss = 0.1 ** len(base)
                 for *_, weight in hits:
                     miss *= 1 - weight
                 starts = [p for p, _ in places]
-                spans = [{"start_word": line.count(b" ", 0, a), "end_word": line.count(b" ", 0, b) + 1, "label": label, "weight": w} for a, b, label, w in hits]
+                spans = [{"start_word": place(a), "end_word": place(b) + 1, "label": label, "weight": w} for a, b, label, w in hits]
                 out.append((doc_id, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted({*base, *(h[2] for h in hits)})), 1 - miss, spans))
             columns = zip(*out, strict=True) if out else [[] for _ in ARROW]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
