@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 Rules are regular expressions over a text's lower-cased words, joined by single
-spaces. A keyword automaton reads each text once and names the rules that may
+spaces: sentences and titles written by hand (license_rules), and forms in which
+texts name a license. A keyword automaton reads each text once and names the rules that may
 match; only those run. Where detections overlap, one that lies within a
 detection of higher priority (or an equal one that is longer) is suppressed.
 """
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import license_rules
 from .common import small_batches
 
 #: Words after ASCII lower-casing: what stands between ASCII characters other than letters and digits.
@@ -72,23 +74,6 @@ FORMS = [
     (60, 0.85, ("copying", "license file", "notice"), r"{} see (?:the )?(?:copying|license file|notice)"),
     (55, 0.85, ("dual licensed ", "either "), r"(?:dual licensed|either) (?:under )?(?:the )?{} or"),
 ]
-#: Sentences of license texts; label, priority, weight, keyword, pattern.
-SENTENCES = [
-    ("mit", 95, 0.98, "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 95, 0.98, "permission to use", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", 95, 0.98, "redistribution and use", r"redistribution and use in source and binary forms with or without modification"),
-    ("apache", 95, 0.98, "compliance with the license", r"you may not use this file except in compliance with the license"),
-    ("gpl", 95, 0.98, "free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", 96, 0.98, "free software", r"free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("agpl", 96, 0.98, "free software", r"free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("mpl", 95, 0.98, "source code form", r"this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", 95, 0.98, "public domain", r"this is free and unencumbered software released into the public domain"),
-    ("zlib", 95, 0.98, "as is", r"this software is provided as is without any express or implied warranty in no event will the authors"),
-    ("public-domain", 50, 0.8, "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("proprietary", 40, 0.6, "all rights reserved", r"all rights reserved"),
-]
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -102,18 +87,37 @@ class Rule:
 _MADE: dict[str, Any] = {}
 
 
+#: A class, a wildcard or a character with a count, or a character that may be missing: no part of a literal run.
+VARIABLE = re.compile(r"(?:\[[^\]]*\]|.)(?:\{[^}]*\}|[?*])\??|\[[^\]]*\]")
+
+
+def literal(pattern: str) -> str:
+    """The longest run of characters that every match has, by leaving out groups, classes and what may be missing."""
+    while (shorter := re.sub(r"\((?:\?:)?[^()]*\)(?:\{[^}]*\}|[?*])?", "\0", pattern)) != pattern:
+        pattern = shorter
+    return max(VARIABLE.sub("\0", pattern).split("\0"), key=len)
+
+
+def written_rules() -> list[Rule]:
+    """The rules of license_rules, each behind its longest literal run."""
+    out = []
+    for line in license_rules.RULES.strip().splitlines():
+        label, priority, weight, pattern = line.split(" ", 3)
+        out.append(Rule(label, int(priority), float(weight), (literal(pattern),), pattern))
+    return out
+
+
 def rules() -> list[Rule]:
-    """Every form of every name, and the sentences: over 250 rules, the first of equal priority first."""
+    """The written rules and every form of every name, the first of equal priority first."""
     if "rules" in _MADE:
         return _MADE["rules"]
-    out = [Rule(label, p, w, keys, form.replace("{}", f"(?:{name})")) for p, w, keys, form in FORMS for label, name in NAMES.items()]
-    out += [Rule(label, p, w, (key,), pattern) for label, p, w, key, pattern in SENTENCES]
+    out = written_rules() + [Rule(label, p, w, keys, form.replace("{}", f"(?:{name})")) for p, w, keys, form in FORMS for label, name in NAMES.items()]
     _MADE["rules"] = sorted(out, key=lambda r: -r.priority)
     return _MADE["rules"]
 
 
 def _compiled():
-    """The keyword automaton, and for each keyword the rules behind it, compiled as one alternation per label where they share it."""
+    """The keyword automaton, the rules behind each keyword, and for the rules of one form a search that tells whether any can match."""
     if "all" in _MADE:
         return _MADE["all"]
     import ahocorasick
@@ -126,12 +130,11 @@ def _compiled():
     for k in by_key:
         machine.add_word(k, k)
     machine.make_automaton()
-    # what any name starts with, so that one search per form tells whether its rules can match at all
-    forms = {}
+    forms: dict[tuple, list[int]] = {}
     for i, r in enumerate(found):
         forms.setdefault((r.priority, r.keywords), []).append(i)
     gates = {i: k for k, group in forms.items() for i in group}
-    anyname = {k: re.compile(rb"(?<![^ ])(?:" + b"|".join(found[i].pattern.encode() for i in group) + rb")(?![^ ])") for k, group in forms.items()}
+    anyname = {k: re.compile(rb"(?<![^ ])(?:" + b"|".join(found[i].pattern.encode() for i in group) + rb")(?![^ ])") for k, group in forms.items() if len(group) > 1}
     _MADE["all"] = machine, by_key, gates, anyname, [re.compile(rb"(?<![^ ])" + r.pattern.encode() + rb"(?![^ ])") for r in found]
     return _MADE["all"]
 
@@ -172,7 +175,7 @@ def detections(line: bytes) -> list[tuple[int, int, str, float]]:
     if not keys:
         return []
     found, all_rules = [], rules()
-    open_gates = {g: bool(anyname[g].search(line)) for g in {gates[i] for k in keys for i in by_key[k]}}
+    open_gates = {g: g not in anyname or bool(anyname[g].search(line)) for g in {gates[i] for k in keys for i in by_key[k]}}
     for i in sorted({i for k in keys for i in by_key[k] if open_gates[gates[i]]}):
         r = all_rules[i]
         found += [(m.start(), m.end(), r.label, r.weight, r.priority) for m in patterns[i].finditer(line)]

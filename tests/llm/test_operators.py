@@ -74,6 +74,26 @@ def test_license_keywords_lose_no_rule():
         assert set(license_scan.detections(line)) == want and bool(want) == (text != "nothing here"), text
 
 
+def test_written_rules():
+    rules = license_scan.written_rules()
+    assert len({r.pattern for r in rules}) == len(rules) >= 220
+    for r in rules:
+        key = r.keywords[0]
+        assert len(key.strip()) >= 3, r
+        # a match in full: groups by their first choice, optional ones left out and put in
+        for optional in (False, True):
+            text = r.pattern
+            while (m := re.search(r"\((?:\?:)?([^()]*)\)(\?|\*)?", text)):
+                text = text[: m.start()] + (m[1].split("|")[0] if optional or not m[2] else "") + text[m.end() :]
+            text = re.sub(r"\.\{[^}]*\}\??", "somebody", text)
+            text = re.sub(r"\[(.)[^\]]*\]\{4\}", r"\1\1\1\1", text)
+            text = re.sub(r"(\[[^\]]*\]|[a-z ])\?", lambda m: m[1].strip("[]")[:1] if optional else "", text)
+            text = " ".join(re.sub(r"\[(.)[^\]]*\]", r"\1", text).split())
+            assert re.fullmatch(r.pattern, text) and key in text, (r.pattern, text)
+            found = license_scan.detections(f"before {text} after".encode())
+            assert any(a <= 7 and b >= 7 + len(text) for a, b, _, _ in found), (r.pattern, text)
+
+
 def test_license_suppression():
     line = b" ".join(license_scan.words_of("licensed under the GNU Lesser General Public License version 3"))
     assert {x[2] for x in license_scan.detections(line)} == {"lgpl"}
