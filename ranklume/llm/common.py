@@ -36,9 +36,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a new one only where it is unset."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Where it is unset, a new one in local mode; a cluster has to name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ranklume-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -63,6 +65,24 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Staged tables that go when the block ends; what outlives it has to be staged by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        df, path = staged(df, label)
+        self.paths.append(path)
+        return df
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        dropped(self.spark, *self.paths)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, or a longer one that no column of df has in any case."""
     taken = {c.lower() for c in df.columns}
@@ -147,4 +167,4 @@ def maybe_among(ids: DataFrame, key: str) -> Callable[[F.Column], F.Column]:
     return lambda column: test(F.xxhash64(column))
 
 
-__all__ = ["T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "maybe_among", "salted_lookup", "sent", "shared_folder", "small_batches", "staged", "table", "unused"]
+__all__ = ["Scratch", "T", "Window", "connected_components", "dropped", "held_out", "held_out_column", "maybe_among", "salted_lookup", "sent", "shared_folder", "small_batches", "staged", "table", "unused"]

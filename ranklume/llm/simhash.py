@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, dropped, maybe_among, salted_lookup, small_batches, staged, unused
+from .common import Scratch, connected_components, dropped, maybe_among, salted_lookup, small_batches, staged, unused
 
 SEED = 42
 
@@ -100,12 +100,12 @@ def _jaccard(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-#: Keys of a set and the minima in each; words whose hashes a task keeps at hand; shingles whose permutations are held at once.
-BANDS, ROWS, MEMO, AT_ONCE = 20, 6, 300_000, 4096
+#: Keys of a set and the minima in each; those that refine a crowded key; words whose hashes a task keeps at hand; shingles whose permutations are held at once.
+BANDS, ROWS, MORE_BANDS, MORE_ROWS, MEMO, AT_ONCE = 20, 6, 6, 3, 300_000, 4096
 #: Bits of a parity map.
 PARITY = 512
-#: The most members of a key that are compared all with all; leaders that a set is compared with in one turn; turns at a level; levels.
-CROWD, LEADERS, TURNS, LEVELS = 16, 4, 2, 4
+#: The most members of a key that are compared all with all; leaders that a set is compared with at each level; levels.
+CROWD, LEADERS, LEVELS = 16, 2, 3
 
 
 class Shingles(dict):
@@ -133,19 +133,20 @@ class Shingles(dict):
 
 
 class Minima:
-    """Keys of a set of hashes: the minima of BANDS times ROWS permutations, ROWS in a key. Two sets share one minimum with the probability of their Jaccard similarity."""
+    """Keys of a set of hashes: the minima of permutations, ``rows`` in each of ``bands`` keys. Two sets share one minimum with the probability of their Jaccard similarity."""
 
-    def __init__(self, level: int):
+    def __init__(self, level: int, bands: int = BANDS, rows: int = ROWS):
         rng = np.random.default_rng(SEED + level)
-        self.odd = rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-        self.flip = rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+        self.bands, self.rows = bands, rows
+        self.odd = rng.integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.flip = rng.integers(0, 1 << 32, bands * rows, np.uint32)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(h):
             return np.zeros(0, np.int64)
         x = (h >> np.uint64(32)).astype(np.uint32)[:, None]
         least = np.min([((x[at : at + AT_ONCE] ^ self.flip) * self.odd).min(0) for at in range(0, len(x), AT_ONCE)], axis=0).astype(np.uint32)
-        return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+        return np.array([xxhash.xxh64_intdigest(least[k * self.rows : (k + 1) * self.rows].tobytes(), k) for k in range(self.bands)], np.uint64).view(np.int64)
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -181,24 +182,32 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     sets, _ = staged(prints.join(reps.hint("merge"), ["id", "doc_id", "hash"]), "near-sets")
     # sets of one document are of one group
     several = prints.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b < high").select("doc_id", "b")
-    links, _ = staged(prints.join(several, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near-same")
-    rows = _shared(sets.select("id", F.explode("keys").alias("key")))
-    for step in range(LEVELS * TURNS + 1):
-        placed = _apart(rows, links)
-        if step and step % TURNS == 0 and step < LEVELS * TURNS and not placed.isEmpty():
-            placed = _apart(_shared(_finer(docs, sets, placed, width, step // TURNS)), links)
-        if placed.isEmpty():
-            break
-        # at last all with all: sets that share so many minima and are not alike are as good as none
-        crowded = F.col("n") > CROWD if step < LEVELS * TURNS else F.lit(False)
-        crowd, few = placed.where(crowded), placed.where(~crowded).select("key", "id", "root")
-        small = few.hint("merge").join(few.select("key", F.col("id").alias("b"), F.col("root").alias("of")), "key").where("id < b and root <> of").select("id", "b")
-        tried, _ = staged(_leaders(crowd), "near-tried")
-        found, _ = staged(_alike(docs, sets, tried.unionByName(small), maps, width, similarity), "near-found")
-        links = links.unionByName(found)
-        # who was compared with a key's leader goes on without it
-        after = crowd.join(tried.withColumnRenamed("b", "lead").withColumn("done", F.lit(True)).hint("merge"), ["id", "lead"], "left")
-        rows, _ = staged(after.select("id", F.when(F.col("done"), F.xxhash64("key", "lead")).otherwise(F.col("key")).alias("key"), "meets"), "near-rows")
+    links = prints.join(several, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links, _ = staged(links, "near-same")
+    rows, last = None, None
+    for level in range(LEVELS + 1):
+        with Scratch(spark) as own:
+            roots = own(connected_components(links, "near-links").select(F.col("node").alias("id"), "root"), "near-roots")
+            placed = _apart(_shared(sets.select("id", F.explode("keys").alias("key")), own) if rows is None else rows, roots, own)
+            # what failed against the leaders of crowded keys gets finer ones; at last all are compared with all: sets that share so many minima are nearly always alike
+            crowded = F.col("n") > CROWD if level < LEVELS else F.lit(False)
+            if level:
+                crowd = placed.where(crowded)
+                if not crowd.isEmpty():
+                    placed = own(placed.where(~crowded).unionByName(_apart(_shared(_finer(docs, sets, crowd, width, level, own), own), roots, own)), "near-placed")
+            if placed.isEmpty():
+                break
+            crowd, few = placed.where(crowded), placed.where(~crowded).select("key", "id", "root")
+            small = few.hint("merge").join(few.select("key", F.col("id").alias("b"), F.col("root").alias("of")), "key").where("id < b and root <> of").select("id", "b")
+            tried = own(_leaders(crowd), "near-tried")
+            found, _ = staged(_alike(docs, sets, tried.unionByName(small), maps, width, similarity, own), "near-found")
+            links = links.unionByName(found)
+            # who was compared with a key's leader goes on without it
+            after = crowd.join(tried.withColumnRenamed("b", "lead").withColumn("done", F.lit(True)).hint("merge"), ["id", "lead"], "left")
+            rows, path = staged(after.select("id", F.when(F.col("done"), F.xxhash64("key", "lead")).otherwise(F.col("key")).alias("key"), "meets"), "near-rows")
+        if last:
+            dropped(spark, last)
+        last = path
     roots = connected_components(links, "near-links")
     members = prints.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
     members, _ = staged(members, "near-members")
@@ -206,23 +215,22 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     return members.join(lowest.hint("merge"), "root").select("doc_id", "group").distinct()
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
+def _shared(keyed: DataFrame, own: Scratch) -> DataFrame:
     """Rows (id, key) of keys with several sets, and ``meets``, how many a set meets. Of keys with the same members one is enough."""
-    keyed, _ = staged(keyed.distinct(), "near-keyed")
+    keyed = own(keyed.distinct(), "near-keyed")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("met"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("also")).where("met > 1")
-    sizes, _ = staged(sizes.groupBy("met", "who", "also").agg(F.min("key").alias("key")).select("key", "met"), "near-sizes")
-    rows, _ = staged(keyed.join(sizes.hint("merge"), "key"), "near-members")
+    sizes = own(sizes.groupBy("met", "who", "also").agg(F.min("key").alias("key")).select("key", "met"), "near-sizes")
+    rows = own(keyed.join(sizes.hint("merge"), "key"), "near-members")
     meets = rows.groupBy("id").agg(F.sum("met").alias("meets"))
-    return staged(rows.select("id", "key").join(meets.hint("merge"), "id").select("id", "key", "meets"), "near-shared")[0]
+    return own(rows.select("id", "key").join(meets.hint("merge"), "id").select("id", "key", "meets"), "near-shared")
 
 
-def _apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(rows: DataFrame, roots: DataFrame, own: Scratch) -> DataFrame:
     """The rows of keys whose sets are of several groups, with their ``root``, the key's number of sets and its leader (``lead``, ``of``)."""
-    roots, _ = staged(connected_components(links, "near-links"), "near-roots")
-    placed, _ = staged(rows.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-placed")
+    placed = own(rows.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-placed")
     keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("meets", "id", "root")).alias("best")).where("low <> high")
-    keys, _ = staged(keys.select("key", "n", F.col("best.id").alias("lead"), F.col("best.root").alias("of"), F.col("best.meets").alias("led")), "near-apart")
-    return staged(placed.join(keys.hint("merge"), "key"), "near-open")[0]
+    keys = own(keys.select("key", "n", F.col("best.id").alias("lead"), F.col("best.root").alias("of"), F.col("best.meets").alias("led")), "near-apart")
+    return own(placed.join(keys.hint("merge"), "key"), "near-open")
 
 
 def _leaders(crowd: DataFrame) -> DataFrame:
@@ -231,22 +239,22 @@ def _leaders(crowd: DataFrame) -> DataFrame:
     return crowd.where("root <> of").groupBy("id").agg(best.alias("x")).select("id", F.explode("x.lead").alias("b"))
 
 
-def _finer(docs: DataFrame, sets: DataFrame, placed: DataFrame, width: int, level: int) -> DataFrame:
+def _finer(docs: DataFrame, sets: DataFrame, placed: DataFrame, width: int, level: int, own: Scratch) -> DataFrame:
     """Rows (id, key) of finer keys: every key of the sets in it together with each of their keys of other minima."""
-    some, _ = staged(sets.select("id", "hash").dropDuplicates(["id"]).join(placed.select("id").distinct().hint("merge"), "id"), "near-some")
+    some = own(sets.select("id", "hash").dropDuplicates(["id"]).join(placed.select("id").distinct().hint("merge"), "id"), "near-some")
     among = maybe_among(some, "hash")
     texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).groupBy("hash").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minima = Shingles(), Minima(level)
+        hashes, minima = Shingles(), Minima(level, MORE_BANDS, MORE_ROWS)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([minima(hashes(t, width)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "more"])
 
-    more, _ = staged(some.join(texts.hint("merge"), "hash").select("id", "text").mapInArrow(run, "id long, more array<long>"), "near-more")
+    more = own(some.join(texts.hint("merge"), "hash").select("id", "text").mapInArrow(run, "id long, more array<long>"), "near-more")
     return placed.select("id", "key").join(more.hint("merge"), "id").select("id", "key", F.explode("more").alias("more")).select("id", F.xxhash64("key", "more").alias("key"))
 
 
-def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str], width: int, similarity: float) -> DataFrame:
+def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str], width: int, similarity: float, own: Scratch) -> DataFrame:
     """Pairs a, b of the candidates (id, b) whose texts are alike. Sizes and parity maps of the sets drop only pairs that cannot be."""
     # Spark takes exploded rows for few: none of them may be broadcast
     pairs = pairs.where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct().hint("merge")
@@ -256,11 +264,11 @@ def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str],
     # |x & y| >= J / (1 + J) (|x| + |y|), so the rest is at most (1 - J) / (1 + J) of both, and no fewer than the odd bits
     odd = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps)
     able = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
-    close, _ = staged(both.where(able).select("a", "b", "hash_a", "hash_b"), "near-close")
+    close = own(both.where(able).select("a", "b", "hash_a", "hash_b"), "near-close")
     wanted = close.select(F.explode(F.array("hash_a", "hash_b")).alias("hash")).distinct()
     among = maybe_among(wanted, "hash")
     texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).groupBy("hash").agg(F.min("text").alias("text")).join(wanted, "hash")
-    texts, _ = staged(texts, "near-texts")
+    texts = own(texts, "near-texts")
     both = close.join(texts.select(F.col("hash").alias("hash_a"), F.col("text").alias("t")), "hash_a").join(texts.select(F.col("hash").alias("hash_b"), F.col("text").alias("u")), "hash_b").select("a", "b", "t", "u")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
