@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20
             out = []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n, found = passages(text, memos[half(text)], other)
-                out.append((y, n, sorted((s[2] for s in found), reverse=True)[:100]))
+                out.append((y, n, sorted((s[2] for s in found), reverse=True)))
             columns = list(zip(*out, strict=True)) or [[] for _ in SCAN]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCAN, strict=True)], schema=SCAN)
 
