@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import sent, small_batches, staged
 
 #: Words of an anchor; bits of a position in its sorting key; odd multiplier of the polynomial hash.
-ANCHOR, PLACE, ODD = 8, 24, 0x9E3779B97F4A7C15
+ANCHOR, PLACE, ODD = 8, 32, 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -114,7 +114,7 @@ def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
 
 
 def _known(docs: DataFrame) -> DataFrame:
-    """doc_id, text and ``row``, the hash that tells rows apart."""
+    """doc_id, text and ``row``, the hash that tells the rows of a doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.withColumn("row", F.xxhash64("doc_id", "text"))
 
@@ -196,17 +196,17 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = True) -> DataFrame:
     # equal surroundings: all windows of the run also start in the earliest document
     lows, _ = staged(runs.groupBy("anchor", "context").agg(F.min("doc_id").alias("low")), "contexts")
     judged, _ = staged(runs.join(lows.hint("merge"), ["anchor", "context"]), "runs-judged")
-    whole = judged.where("doc_id > low").select("row", "first", "count")
+    whole = judged.where("doc_id > low").select("doc_id", "row", "first", "count")
     # other runs: the earliest one of each surroundings gives its windows
-    part = judged.where("doc_id = low and ambiguous").groupBy("row").agg(F.collect_list(F.struct("first", "count", "anchor")).alias("spans"))
+    part = judged.where("doc_id = low and ambiguous").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "count", "anchor")).alias("spans"))
     part, _ = staged(part, "runs-open")
-    rows = docs.join(part.hint("merge"), "row").select("doc_id", "text", "row", "spans")
+    rows = docs.join(part.hint("merge"), ["doc_id", "row"]).select("doc_id", "text", "row", "spans")
     each, _ = staged(windows(rows, window), "windows")
     earliest, _ = staged(each.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"), "windows-low")
-    single = each.join(earliest.hint("merge"), ["anchor", "window"]).where("doc_id > low").select("row", "first", F.lit(1).alias("count"))
-    spans, _ = staged(whole.unionByName(single).groupBy("row").agg(F.collect_set(F.struct("first", "count")).alias("spans")), "spans")
+    single = each.join(earliest.hint("merge"), ["anchor", "window"]).where("doc_id > low").select("doc_id", "row", "first", F.lit(1).alias("count"))
+    spans, _ = staged(whole.unionByName(single).groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "count")).alias("spans")), "spans")
     # a copy's row may repeat, its spans do not: they are one row for each hash
-    cleaned = docs.join(spans.hint("merge"), "row", "left").select("doc_id", "text", "spans")
+    cleaned = docs.join(spans.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +290,9 @@ def remove_reference_spans(docs: DataFrame, references: DataFrame, window: int =
     small_batches(spark)
     total = references.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // (6 * shard_words)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<struct<first:int,count:int>>").alias("spans"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(1), "text").alias("also"))
+    kind = "row long, also long, spans array<struct<first:int,count:int>>"
+    found = spark.createDataFrame([], kind)
     for k in range(n):
         automaton = Automaton()
         for r in references.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select("text").distinct().collect():
@@ -300,13 +302,17 @@ def remove_reference_spans(docs: DataFrame, references: DataFrame, window: int =
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             own = held()
             for batch in batches:
-                more = []
-                for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                spans = []
+                for text in batch.column(2).to_pylist():
                     ends = own.matching(words_of(text))
-                    more.append(spans + [{"first": i + 1 - m, "count": m - window + 1} for i, m in enumerate(ends) if m >= window and (i + 1 == len(ends) or ends[i + 1] <= m)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())])))], ["doc_id", "text", "spans"])
-
-        rows = rows.mapInArrow(run, rows.schema)
+                    spans.append([{"first": i + 1 - m, "count": m - window + 1} for i, m in enumerate(ends) if m >= window and (i + 1 == len(ends) or ends[i + 1] <= m)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())])))], ["row", "also", "spans"])
+
+        # written, so that the next automaton does not live beside this one
+        some, _ = staged(docs.select("row", "also", "text").mapInArrow(run, kind).where(F.size("spans") > 0), "reference-spans")
+        found = found.unionByName(some)
+    every = found.groupBy("row", "also").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    rows = docs.join(every.hint("merge"), ["row", "also"], "left").select("doc_id", "text", "spans")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
