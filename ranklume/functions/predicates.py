@@ -16,8 +16,13 @@ def like_escaped(text: str) -> str:
 
 
 def contains_ci(c: Column, text: str | None) -> Column:
-    """Whether the column holds the text, in any case. A blank text filters nothing."""
-    return F.lit(True) if not (text or "").strip() else c.ilike(f"%{like_escaped(text)}%")
+    """Whether the column holds the text (without outer white space), in any case. A blank text filters nothing."""
+    return F.lit(True) if not (text or "").strip() else c.ilike(f"%{like_escaped(text.strip())}%")
+
+
+def named_like(c: Column, text: str | None) -> Column:
+    """As contains_ci for a search of names, where a blank text finds nothing."""
+    return contains_ci(c, text) if (text or "").strip() else F.lit(False)
 
 
 def equal_ci(c: Column, text: str) -> Column:
@@ -156,3 +161,24 @@ class Criteria:
     def _all(self, key: str) -> list[Any]:
         value = self.raw.get(key)
         return value if isinstance(value, list) else [] if value is None else [value]
+
+
+#: Fixed value: the most ids that a criterion keeps when it is written.
+MOST_IDS = 200
+
+
+def written_criteria(raw: dict[str, Any] | None) -> dict[str, Any]:
+    """A saved search's criteria as they are stored: readable values only, ids once each and at most MOST_IDS of them."""
+    found = Criteria(raw)
+    out: dict[str, Any] = {k: n for k in Criteria.NUMBERS if (n := found.number(k)) is not None}
+    for key in Criteria.LISTS:
+        ids = list(dict.fromkeys(found.ids(key)))
+        if ids:
+            out[key] = ids if key == "book_length" else ids[:MOST_IDS]
+    if found.ranked is not None:
+        out["ranked"] = str(found.ranked).lower()
+    if found.hide_read:
+        out["hide_read"] = True
+    if found.all_categories:
+        out["genre_match_mode"] = "all"
+    return out

@@ -75,7 +75,7 @@ def without_nul(c: Column) -> Column:
 
 def line_batches(text: Column, size: int = 100) -> Column:
     """Lines that are not blank, joined again in batches of ``size``."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^\s*$"))
     starts = F.when(F.size(lines) > 0, F.sequence(F.lit(1), F.size(lines), F.lit(size))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, F.lit(size)), "\n"))
 

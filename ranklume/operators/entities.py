@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ITEM_OF_LIST
@@ -21,7 +24,7 @@ def same_title(items: DataFrame) -> DataFrame:
 
 def merged_links(links: DataFrame, merges: DataFrame, key: str, *unique: str) -> DataFrame:
     """links with ``key`` moved along merges (source_id, target_id), one row for each unique key; ``verified`` is true if any was."""
-    moved = links.join(F.broadcast(merges), links[key] == merges["source_id"], "left").withColumn(key, F.coalesce("target_id", key)).drop("source_id", "target_id")
+    moved = links.join(merges, links[key] == merges["source_id"], "left").withColumn(key, F.coalesce("target_id", key)).drop("source_id", "target_id")
     rest = [c for c in links.columns if c not in unique]
     if not rest:
         return moved.select(*unique).distinct()
@@ -117,7 +120,53 @@ def by_identifier(identifiers: DataFrame, value: str, types: list[int]) -> DataF
     return identifiers.where((F.trim("value") == value.strip()) & F.col("identifier_type").isin(*types))
 
 
-def patched(document, removed: list[str], added: dict[str, str]):
-    """A JSON object's text without some keys and with others set."""
-    kept = F.map_filter(F.coalesce(F.from_json(document, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*removed, *added))
-    return F.to_json(F.map_concat(kept, F.create_map(*[F.lit(x) for kv in added.items() for x in kv]))) if added else F.to_json(kept)
+def patched(document: Column, removed: list[str], added: dict[str, Any]) -> Column:
+    """A JSON object's text without some keys and with others set. Values keep their types; what is no object counts as empty."""
+    kept = F.map_filter(F.coalesce(F.from_json(document, "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda k, v: ~k.isin(*removed, *added))
+    if not added:
+        return F.to_json(kept)
+    return F.to_json(F.map_concat(kept, F.create_map(*[x for k, v in added.items() for x in (F.lit(k), F.parse_json(F.lit(json.dumps(v))))])))
+
+
+def renamed_category(categories: DataFrame, links: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """Categories and their items after one is renamed: a new one takes the items and the old name as an alternative one, the old
+    one is deleted softly. Where another has the new name in any case, the two are merged into it, and it is restored if it was deleted."""
+    same = categories.where((F.lower("name") == new.lower()) & (F.col("name") != old)).select("name").orderBy("name").first()  # one row
+    if same:
+        restored = categories.withColumn("deleted", F.when(F.col("name") == same["name"], False).otherwise(F.col("deleted")))
+        merged, moved = merged_category(restored, links, old, same["name"])
+        return merged, moved
+    none = F.array().cast("array<string>")
+    made = categories.where(F.col("name") == old).withColumn("name", F.lit(new)).withColumn("alternative_names", F.array(F.lit(old))).withColumn("deleted", F.lit(False))
+    kept = categories.withColumn("alternative_names", F.coalesce("alternative_names", none)).withColumn("deleted", F.col("deleted") | (F.col("name") == old))
+    return kept.unionByName(made), links.withColumn("category", F.when(F.col("category") == old, new).otherwise(F.col("category"))).distinct()
+
+
+def deleted_category(categories: DataFrame, links: DataFrame, name: str, soft: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Categories and their items without those of one; softly, the category itself stays and is marked."""
+    left = links.where(~F.col("category").eqNullSafe(F.lit(name)))
+    if soft:
+        return categories.withColumn("deleted", F.col("deleted") | (F.col("name") == name)), left
+    return categories.where(~F.col("name").eqNullSafe(F.lit(name))), left
+
+
+def medium(kind: Column) -> Column:
+    """The part of a type's name before its first colons: Books, Movies, Games, Music or Global."""
+    return F.split_part(kind, F.lit("::"), F.lit(1))
+
+
+def configuration_violations(ranked_lists: DataFrame, lists: DataFrame, configurations: DataFrame) -> DataFrame:
+    """Ranked lists (list_id, ranking_configuration_id) whose list's type is not that of their configuration."""
+    x = ranked_lists.join(lists.select(F.col("id").alias("list_id"), F.col("type").alias("list_type")), "list_id")
+    x = x.join(configurations.select(F.col("id").alias("ranking_configuration_id"), F.col("type").alias("configuration_type")), "ranking_configuration_id")
+    return x.where(F.regexp_replace("list_type", "List$", "") != F.regexp_replace("configuration_type", "RankingConfiguration$", ""))
+
+
+def penalty_violations(links: DataFrame, penalties: DataFrame, owners: DataFrame, owner: str, static_only: bool = False) -> DataFrame:
+    """Links (penalty_id, ``owner``) of penalties to lists or configurations of another medium, with ``reason``: ``medium``, or ``dynamic``
+    where only static penalties may be linked. Global penalties fit all."""
+    x = links.join(penalties.select(F.col("id").alias("penalty_id"), F.col("type").alias("penalty_type"), "dynamic_type"), "penalty_id")
+    x = x.join(owners.select(F.col("id").alias(owner), F.col("type").alias("owner_type")), owner)
+    dynamic = F.lit(static_only) & F.col("dynamic_type").isNotNull()
+    odd = (F.col("penalty_type") != "Global::Penalty") & (medium(F.col("penalty_type")) != medium(F.col("owner_type")))
+    return x.withColumn("reason", F.when(dynamic, "dynamic").when(odd, "medium")).where("reason is not null").select(*links.columns, "reason")

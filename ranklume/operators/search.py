@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,8 +132,9 @@ def _all(text: Column, query: Column) -> Column:
     return F.coalesce((F.size(terms(query)) > 0) & (F.size(F.array_except(terms(query), terms(text))) == 0), F.lit(False))
 
 
-def general_matches(documents: DataFrame, text: str, kind: str = "Books::Book") -> DataFrame:
-    """Documents that meet at least one clause of the kind's general search, with the sum of the clauses' boosts (``score``).
+def general_matches(documents: DataFrame, text: str, kind: str = "Books::Book", min_score: float = 1.0, filters: dict[str, Any] | None = None) -> DataFrame:
+    """Documents that meet at least one clause of the kind's general search, with the sum of the clauses' boosts (``score``), from
+    ``min_score`` on. ``filters`` are values that fields have to have; they add nothing to the score. Blank text finds nothing.
 
     The set of matches is what a search engine would give; its scores depend on its shards, so these are of our own.
     Fields that the documents lack have no clause.
@@ -147,7 +149,14 @@ def general_matches(documents: DataFrame, text: str, kind: str = "Books::Book")
         clauses |= {"creator_phrase": _some_of(fields.creators, query, _phrase), "creator_all": _all(F.array_join(fields.creators, " "), query)}
     if has(fields.subtitle):
         clauses["subtitle"] = _all(F.col(fields.subtitle), query)
-    return _scored(documents, clauses, fields.boosts)
+    for name, value in (filters or {}).items():
+        documents = documents.where(F.col(name) == value)
+    found = documents if text.strip() else documents.where(F.lit(False))
+    return _scored(found, clauses, fields.boosts).where(F.col("score") >= min_score)
+
+
+#: Fixed value: the kind of book that a general search is for by default.
+STANDALONE = {"book_kind": "standalone"}
 
 
 def _some_of(items: str, query: Column, test) -> Column:
@@ -172,12 +181,21 @@ def completions(documents: DataFrame, text: str, size: int = 20) -> DataFrame:
     return found.orderBy(F.desc("score"), "id").limit(size)
 
 
-def by_title_and_creators(documents: DataFrame, title: str, creators: list[str], field: str) -> DataFrame:
-    """Documents whose title matches and that name one of the creators; the title alone does not do."""
+#: Boosts of a search by title and creators.
+PAIR_BOOSTS = {"phrase": 10.0, "keyword": 9.0, "all": 8.0, "creator_phrase": 6.0, "creator_all": 5.0}
+
+
+def by_title_and_creators(documents: DataFrame, title: str, creators: list[str], field: str, required: bool = True, min_score: float = 0.0) -> DataFrame:
+    """Documents whose title matches, with ``score``. Where creators are required, one of them has to be named and the title alone
+    does not do; else they add to the score only."""
     query = search_text(F.lit(title))
-    name = _phrase(F.col("title"), query) | (folded(F.col("title")) == query) | _all(F.col("title"), query)
-    who = [_some_of(field, search_text(F.lit(x)), _phrase) | _all(F.array_join(field, " "), search_text(F.lit(x))) for x in creators if x.strip()]
-    return documents.where(name & (_some(who) if who else F.lit(False)))
+    names = [search_text(F.lit(x)) for x in creators if x.strip()]
+    clauses = {"phrase": _phrase(F.col("title"), query), "keyword": folded(F.col("title")) == query, "all": _all(F.col("title"), query)}
+    found = documents.where(_some(list(clauses.values())))
+    who = {"creator_phrase": _some([_some_of(field, x, _phrase) for x in names]), "creator_all": _some([_all(F.array_join(field, " "), x) for x in names])} if names else {}
+    if required:
+        found = found.where(_some(list(who.values())) if who else F.lit(False))
+    return _scored(found, clauses | who, PAIR_BOOSTS).where(F.col("score") >= min_score)
 
 
 def _scored(documents: DataFrame, clauses: dict[str, Column], boosts: dict[str, float]) -> DataFrame:

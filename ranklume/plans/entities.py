@@ -98,14 +98,14 @@ def clone_config(c) -> DataFrame:
 
 
 @plan("""
-WITH w AS (SELECT id AS key, CASE WHEN id % 3 = 0 THEN id + 1900 END AS external_id, CASE WHEN id % 2 = 0 THEN CONCAT('Brand#3-', CAST(id % 500 AS STRING)) END AS identifier, CASE WHEN id % 5 = 0 THEN title ELSE 'none' END AS title FROM books WHERE id < 600),
+WITH w AS (SELECT id AS key, CASE WHEN id % 3 = 0 THEN id + 1900 END AS external_id, CASE WHEN id % 2 = 0 THEN CONCAT('Brand#3-', CAST(id % 500 AS STRING)) END AS identifier, CASE WHEN id % 5 = 0 THEN title ELSE 'none' END AS title FROM books),
 c AS (SELECT TRIM(value) AS identifier, MIN(identifiable_id) AS m2 FROM identifiers GROUP BY TRIM(value)),
 t AS (SELECT LOWER(title) AS title, MIN(id) AS m3 FROM books GROUP BY LOWER(title))
 SELECT w.key, COALESCE(b.id, c.m2, t.m3) AS match_id, CASE WHEN b.id IS NOT NULL THEN 'external_id' WHEN c.m2 IS NOT NULL THEN 'identifier' WHEN t.m3 IS NOT NULL THEN 'title' ELSE 'none' END AS how
 FROM w LEFT JOIN books b ON b.id = w.external_id LEFT JOIN c ON c.identifier = w.identifier LEFT JOIN t ON t.title = LOWER(w.title)
 """)
 def match_cascade(c) -> DataFrame:
-    wanted = c.books.where("id < 600").selectExpr("id as key", "case when id % 3 = 0 then id + 1900 end as external_id", "case when id % 2 = 0 then concat(' Brand#3-', id % 500) end as identifier", "case when id % 5 = 0 then title else 'none' end as title")
+    wanted = c.books.selectExpr("id as key", "case when id % 3 = 0 then id + 1900 end as external_id", "case when id % 2 = 0 then concat(' Brand#3-', id % 500) end as identifier", "case when id % 5 = 0 then title else 'none' end as title")
     return entities.match_cascade(wanted, c.books, c.identifiers)
 
 
@@ -126,7 +126,7 @@ def identifier_lookup(c) -> DataFrame:
     return entities.by_identifier(c.identifiers, " Brand#4-2", [0, 100, 200]).select("identifiable_id", "identifier_type")
 
 
-@plan("SELECT event_id, '{\"verified\":\"false\"}' AS props FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, CONCAT('{\"k\":\"', json_extract_string(props, '$.k'), '\",\"verified\":\"false\"}') AS props FROM events WHERE event_id % 2 = 1")
+@plan("SELECT event_id, CONCAT('{', CASE WHEN event_id % 2 = 1 THEN CONCAT('\"k\":', CAST(json_extract(props, '$.k') AS VARCHAR), ',') ELSE '' END, '\"n\":1,\"o\":{\"a\":[2,null]},\"verified\":false}') AS props FROM events")
 def json_patch(c) -> DataFrame:
-    gone, kept = (entities.patched(F.col("props"), x, {"verified": "false"}) for x in (["k"], []))
+    gone, kept = (entities.patched(F.col("props"), x, {"n": 1, "o": {"a": [2, None]}, "verified": False}) for x in (["k"], []))
     return c.events.select("event_id", F.when(F.col("event_id") % 2 == 0, gone).otherwise(kept).alias("props"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as p
+from ..operators import scopes
 from . import plan
 
 
@@ -45,13 +46,28 @@ def filter_json(c) -> DataFrame:
 
 @plan("SELECT name, item_count FROM categories WHERE name ILIKE '%brand#1%' ORDER BY item_count DESC, name LIMIT 10")
 def name_search(c) -> DataFrame:
-    return c.categories.where(p.contains_ci(F.col("name"), "brand#1")).orderBy(F.desc("item_count"), "name").limit(10).select("name", "item_count")
+    return c.categories.where(p.named_like(F.col("name"), " brand#1 ")).orderBy(F.desc("item_count"), "name").limit(10).select("name", "item_count")
 
 
 @plan("SELECT id, title FROM songs WHERE release_year BETWEEN 1960 AND 1970 AND id IN (SELECT song_id FROM song_artists WHERE artist_id = 3)")
 def model_scopes(c) -> DataFrame:
-    mine = c.song_artists.where("artist_id = 3").select(F.col("song_id").alias("id"))
-    return c.songs.where(p.years_between(F.col("release_year"), 1960, 1970)).join(mine, "id", "left_semi").select("id", "title")
+    return scopes.linked(scopes.released(c.songs, 1960, 1970), c.song_artists, "song_id", artist_id=3).select("id", "title")
+
+
+GAMES = "SELECT id, title, release_year, CAST(id % 4 AS INT) AS game_type, CASE WHEN id % 8 = 0 THEN id % 50 END AS series_id FROM songs"
+
+
+@plan(f"SELECT id, title FROM ({GAMES}) g WHERE game_type IN (0, 1, 2) AND release_year >= 1975 AND id IN (SELECT song_id FROM song_artists WHERE artist_id = 4)")
+def game_scopes(c) -> DataFrame:
+    games = c.songs.selectExpr("id", "title", "release_year", "cast(id % 4 as int) as game_type")
+    companies = c.song_artists.withColumn("developer", F.lit(True))
+    return scopes.linked(scopes.released(scopes.games_of(games, *scopes.STANDALONE_GAMES), 1975), companies, "song_id", artist_id=4, developer=True).select("id", "title")
+
+
+@plan(f"SELECT id, title, series_id FROM ({GAMES}) g WHERE series_id = 16 OR id IN (SELECT identifiable_id FROM identifiers WHERE identifier_type = 100 AND value = ' Brand#3-77 ')")
+def item_scopes(c) -> DataFrame:
+    games = c.songs.selectExpr("id", "title", "case when id % 8 = 0 then id % 50 end as series_id")
+    return scopes.in_series(games, 16).unionByName(scopes.with_identifier(games, c.identifiers, 100, " Brand#3-77 ")).distinct()
 
 
 @plan("SELECT id, CAST(NULL AS INT) AS rank, 2 * id AS twice FROM authors")
@@ -84,16 +100,16 @@ def update_from_join(c) -> DataFrame:
     return c.books.join(first, "id", "left").select("id", F.coalesce("edition", F.lit(-1)).alias("edition"))
 
 
-@plan("SELECT id, name FROM lists ORDER BY name DESC NULLS LAST, id LIMIT 50")
+@plan("SELECT id, name FROM lists ORDER BY name DESC NULLS LAST, id")
 def whitelisted_sort(c) -> DataFrame:
-    return c.lists.orderBy(*p.sort_columns("name", "DESC", {"name": "name", "year": "year_published"}, "name")).limit(50).select("id", "name")
+    return c.lists.orderBy(*p.sort_columns("name", "DESC", {"name": "name", "year": "year_published"}, "name")).select("id", "name")
 
 
-@plan("SELECT id, num_years_covered FROM lists ORDER BY num_years_covered DESC NULLS FIRST, id LIMIT 40")
+@plan("SELECT id, num_years_covered FROM lists ORDER BY num_years_covered DESC NULLS FIRST, id")
 def nulls_first(c) -> DataFrame:
-    return c.lists.orderBy(F.desc_nulls_first("num_years_covered"), "id").limit(40).select("id", "num_years_covered")
+    return c.lists.orderBy(F.desc_nulls_first("num_years_covered"), "id").select("id", "num_years_covered")
 
 
-@plan("SELECT id, COALESCE(page_range, title) AS sort_title FROM books ORDER BY COALESCE(page_range, title), id LIMIT 40")
+@plan("SELECT id, COALESCE(page_range, title) AS sort_title FROM books ORDER BY COALESCE(page_range, title), id")
 def coalesced_sort(c) -> DataFrame:
-    return c.books.select("id", F.coalesce("page_range", "title").alias("sort_title")).orderBy("sort_title", "id").limit(40)
+    return c.books.select("id", F.coalesce("page_range", "title").alias("sort_title")).orderBy("sort_title", "id")

@@ -46,12 +46,26 @@ def search_unparseable(c) -> DataFrame:
     return search.search_page(search.matching(c.book_documents, Criteria({"book_type": "abc"}), NAMES, TYPES)).select(*COLUMNS)
 
 
-@plan("SELECT id, title FROM books WHERE title ILIKE '%red%' AND title ILIKE '%ring%'")
+def _worded(table: str, field: str, words: list[str], rest: str = "") -> str:
+    """Rows of a table with the score of a general search for these words: as a phrase 10, all of them ``every``."""
+    phrase, every = " ".join(words), ", ".join(f"'{w}'" for w in words)
+    return f"SELECT * FROM (SELECT id, {field}, CASE WHEN CONTAINS(CONCAT(' ', ARRAY_TO_STRING(w, ' '), ' '), ' {phrase} ') THEN 10.0 ELSE 0.0 END + CASE WHEN LIST_HAS_ALL(w, [{every}]) THEN {{every}} ELSE 0.0 END AS score FROM (SELECT *, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER({field}), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {table}) t) s WHERE score >= 1{rest}"
+
+
+@plan(_worded("books", "title", ["ring", "red"]).format(every=8.0))
 def general_search(c) -> DataFrame:
-    return search.general_matches(c.book_documents, "Ring, ‘red’!").select("id", "title")
+    return search.general_matches(c.book_documents, "Ring, ‘red’!").select("id", "title", "score")
+
+
+@plan(_worded("(SELECT *, id % 3 = 0 AS single FROM books)", "title", ["red", "ring"], " AND score >= 10").format(every=8.0).replace("FROM (SELECT *, LIST_FILTER", "FROM (SELECT *, LIST_FILTER").replace(" t) s WHERE", " t WHERE single) s WHERE"))
+def general_search_filtered(c) -> DataFrame:
+    """Books that stand alone whose score is at least that of a phrase."""
+    books = c.book_documents.withColumn("book_kind", F.when(F.col("id") % 3 == 0, "standalone").otherwise("volume"))
+    found = search.general_matches(books, "red ring", min_score=10.0, filters=search.STANDALONE)
+    return found.select("id", "title", F.when(F.col("score") > 18, 18.0).otherwise(F.col("score")).alias("score"))
 
 
-@plan("SELECT id, name, 15.0 AS score FROM authors WHERE id = 42")
+@plan(_worded("authors", "name", ["supplier", "000000042"]).format(every=5.0))
 def general_search_authors(c) -> DataFrame:
     """The name as a phrase and all of its words; the mark in it keeps it from being equal."""
     return search.general_matches(c.authors, "supplier 000000042!", "Books::Author").select("id", "name", "score")

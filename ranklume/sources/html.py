@@ -14,12 +14,19 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no installed copy
 
 #: Elements that go with all they hold, attributes that stay, elements without an end.
-UNWANTED = frozenset("script style link meta noscript img picture audio video source track canvas svg button form input select textarea label fieldset legend optgroup option datalist output progress meter iframe embed object param map area figure figcaption dialog menu menuitem details summary slot template nav aside footer header ruby rt rp time data abbr dfn code pre samp kbd var blockquote q cite".split())
-KEPT_ATTRIBUTES = frozenset("id class href src alt title".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+UNWANTED = frozenset({
+    "script", "style", "link", "meta", "noscript", "img", "picture", "audio", "video", "source", "track", "canvas", "svg", "button", "form", "input",
+    "select", "textarea", "label", "fieldset", "legend", "optgroup", "option", "datalist", "output", "progress", "meter", "iframe", "embed",
+    "object", "param", "map", "area", "figure", "figcaption", "dialog", "menu", "menuitem", "details", "summary", "slot", "template", "nav", "aside",
+    "footer", "header", "ruby", "rt", "rp", "time", "data", "abbr", "dfn", "code", "pre", "samp", "kbd", "var", "blockquote", "q", "cite",
+})
+KEPT_ATTRIBUTES = frozenset({"id", "class", "href", "src", "alt", "title"})
+VOID = frozenset({
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+})
 #: What a review may have.
-REVIEW_TAGS, REVIEW_ATTRIBUTES = frozenset("p br a i b em strong blockquote".split()), frozenset("href title".split())
-DROPPED = frozenset("script style".split())
+REVIEW_TAGS, REVIEW_ATTRIBUTES = frozenset({"p", "br", "a", "i", "b", "em", "strong", "blockquote"}), frozenset({"href", "title"})
+DROPPED = frozenset({"script", "style"})
 
 
 class _Rewriter(HTMLParser):

@@ -4,22 +4,19 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from typing import Any, ClassVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import list_kind
 from ..schemas import IMPORTED_ITEMS
 
-#: A line of a list of lists, the most specific form first; groups are source, country, name, year.
-COUNTRY = r"\(([A-Za-z\s/]+)\)"
-LINES = [
-    (rf"^(.+?)\s*{COUNTRY}\s*-\s*(.+?)\s*\((\d{{4}})[^)]*\)$", (1, 2, 3, 4)),
-    (r"^(.+?)\s*\(([A-Za-z\s/]+),\s*(\d{4})\)\s*-\s*(.+)$", (1, 2, 4, 3)),
-    (r"^(.+?)\s*-\s*(.+?)\s*\((\d{4})[^)]*\)$", (1, None, 2, 3)),
-    (rf"^(.+?)\s*{COUNTRY}\s*-\s*(.+)$", (1, 2, 3, None)),
-    (r"^(.+?)\s*-\s*(.+)$", (1, None, 2, None)),
-]
+#: What stands before a list's name: its source with a note of a country, which may have a year; or the source alone.
+NOTED = r"^(.+?)\s*\(([A-Za-z\s/]+)(?:,\s*([0-9]{4}))?\)\s*-\s*(.+)$"
+PLAIN = r"^(.+?)\s*-\s*(.+)$"
+#: A name and the year in a note at its end, where more may follow the year.
+DATED = r"^(.+?)\s*\(([0-9]{4})[^)]*\)$"
 
 
 def replica(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 32, **options: str) -> DataFrame:
@@ -36,18 +33,25 @@ def keyset(df: DataFrame, key: str, after: int | None, size: int) -> DataFrame:
 
 
 def list_lines(lines: DataFrame) -> DataFrame:
-    """Columns of the lines (value) of a list of lists, and ``route``: valid, missing_country, missing_year, ambiguous or invalid. Comments and blank lines drop out."""
-    line = F.col("value")
-    kept = lines.where((F.trim(line) != "") & ~F.ltrim(line).startswith("#"))
-
-    def part(i: int) -> Column:
-        out = F.lit(None).cast("string")
-        for pattern, groups in reversed(LINES):
-            own = F.trim(F.regexp_extract(line, pattern, groups[i])) if groups[i] else F.lit(None).cast("string")
-            out = F.when(line.rlike(pattern), own).otherwise(out)
-        return out
+    """Columns of the lines (value) of a list of lists, and ``route``: valid, missing_country, missing_year, ambiguous or invalid.
 
-    out = kept.select("*", part(0).alias("source"), part(1).alias("country"), part(2).alias("name"), part(3).try_cast("int").alias("year"))
+    A line is cut once, after the first note of a country or else at its first dash. The year is the one in that note, else
+    the one in a note at the end of the name. Comments and blank lines drop out.
+    """
+    line = F.col("value")
+    kept = lines.where(~line.rlike(r"^\s*(#|$)"))
+    noted, plain = line.rlike(NOTED), line.rlike(PLAIN)
+    group = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    early = F.when(noted, group(line, NOTED, 3))
+    rest = F.when(noted, group(line, NOTED, 4)).when(plain, group(line, PLAIN, 2))
+    late = early.isNull() & rest.rlike(DATED)
+    cut = {
+        "source": F.when(noted, group(line, NOTED, 1)).when(plain, group(line, PLAIN, 1)),
+        "country": F.when(noted, group(line, NOTED, 2)),
+        "name": F.when(late, group(rest, DATED, 1)).otherwise(rest),
+    }
+    year = F.when(late, group(rest, DATED, 2)).otherwise(early).try_cast("int")
+    out = kept.select("*", *[F.regexp_replace(c, r"^\s+|\s+$", "").alias(n) for n, c in cut.items()], year.alias("year"))
     kind = list_kind(F.col("name"))
     route = F.when(F.col("name").isNull(), "invalid").when(kind == "ambiguous", "ambiguous").when(F.col("country").isNull(), "missing_country").when(F.col("year").isNull(), "missing_year").otherwise("valid")
     return out.select("*", F.when(F.col("name").isNotNull(), kind).alias("list_type"), route.alias("route"))
@@ -59,47 +63,55 @@ def imported_items(lists: DataFrame, document: str, key: str = "songs") -> DataF
 
 
 def lucene_escaped(text: str) -> str:
-    """Text with the special characters of Lucene's syntax as plain ones."""
-    return re.sub(r'([+\-!(){}\[\]^"~*?:\\/]|&&|\|\|)', r"\\\1", text)
+    """Text with the special characters of Lucene's syntax, spaces among them, as plain ones."""
+    return re.sub(r'([+\-&|!(){}\[\]^"~*?:\\/ ])', r"\\\1", text)
 
 
 @dataclass(frozen=True)
 class ApiQuery:
-    """A query of a games catalog's API; each step returns a new one. The request itself is left to the caller."""
+    """A query of a games catalog's API; each step returns a new one, and a later step of a kind replaces an earlier one, but
+    for conditions, which all hold. The request itself is left to the caller."""
+
+    parts: tuple[tuple[str, str], ...] = ()
+    #: Clauses in the order in which they are written.
+    ORDER: ClassVar[tuple[str, ...]] = ("fields", "exclude", "search", "where", "sort", "limit", "offset")
 
-    names: tuple[str, ...] = ()
-    without: tuple[str, ...] = ()
-    conditions: tuple[str, ...] = ()
-    text: str | None = None
-    order: str | None = None
-    most: int = 10
-    skip: int = 0
+    def _with(self, name: str, text: str) -> ApiQuery:
+        return replace(self, parts=tuple((dict(self.parts) | {name: text}).items()))
 
     def fields(self, *names: str) -> ApiQuery:
-        return replace(self, names=self.names + names)
+        """The fields to return; all where none is named."""
+        return self._with("fields", ", ".join(names) or "*")
 
     def exclude(self, *names: str) -> ApiQuery:
-        return replace(self, without=self.without + names)
+        return self._with("exclude", ", ".join(names))
 
-    def where(self, condition: str) -> ApiQuery:
-        return replace(self, conditions=(*self.conditions, condition))
+    def where(self, condition: str | dict[str, Any]) -> ApiQuery:
+        """A condition as text, or values by field: a list means any of them, None a field without value."""
+        if not isinstance(condition, (str, dict)):
+            raise ValueError("where: text or values by field")
+        one = lambda v: "null" if v is None else f"({','.join(map(str, v))})" if isinstance(v, (list, tuple)) else str(v).lower() if isinstance(v, bool) else str(v)
+        new = condition if isinstance(condition, str) else " & ".join(f"{k} = {one(v)}" for k, v in condition.items())
+        return self._with("where", " & ".join(x for x in (dict(self.parts).get("where"), new) if x))
 
     def search(self, text: str) -> ApiQuery:
-        return replace(self, text=text)
+        return self._with("search", '"' + re.sub(r'(["\\])', r"\\\1", text) + '"')
 
     def sort(self, field: str, direction: str = "asc") -> ApiQuery:
-        return replace(self, order=f"{field} {direction}")
+        return self._with("sort", f"{field} {direction}")
 
     def limit(self, n: int) -> ApiQuery:
-        if not 1 <= n <= 500:
+        if isinstance(n, bool) or not isinstance(n, int) or not 1 <= n <= 500:
             raise ValueError("limit: 1 to 500")
-        return replace(self, most=n)
+        return self._with("limit", str(n))
 
     def offset(self, n: int) -> ApiQuery:
-        if n < 0:
+        if isinstance(n, bool) or not isinstance(n, int) or n < 0:
             raise ValueError("offset: 0 or more")
-        return replace(self, skip=n)
+        return self._with("offset", str(n))
 
     def __str__(self) -> str:
-        said = [("fields", ",".join(self.names) or "*"), ("exclude", ",".join(self.without)), ("where", " & ".join(self.conditions)), ("search", '"' + self.text.replace('"', '\\"') + '"' if self.text else ""), ("sort", self.order or ""), ("limit", str(self.most)), ("offset", str(self.skip) if self.skip else "")]
-        return " ".join(f"{k} {v};" for k, v in said if v)
+        said = dict(self.parts)
+        if not said:
+            raise ValueError("a query has to have a clause")
+        return " ".join(f"{k} {said[k]};" for k in self.ORDER if k in said)

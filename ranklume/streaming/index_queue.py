@@ -37,11 +37,31 @@ def applied(documents: DataFrame, batch: DataFrame, source: DataFrame) -> DataFr
     return kept.unionByName(fresh.select(*documents.columns))
 
 
-def consume(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 seconds") -> StreamingQuery:
-    """Hands the last requests of each micro-batch to ``apply``, which has to bear a batch's return after a failure."""
-    return stream.writeStream.foreachBatch(lambda batch, n: apply(last_requests(batch), n)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+def runs(batch: DataFrame, most: int = 1000) -> DataFrame:
+    """The batch with ``run``: the ``most`` oldest requests of each type are of run 0, the next ones of run 1, and so on."""
+    w = Window.partitionBy("parent_type").orderBy("id")
+    return batch.withColumn("run", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
+
+
+def _handed(apply: Callable[[DataFrame, int], None], most: int) -> Callable[[DataFrame, int], None]:
+    def hand(batch: DataFrame, n: int) -> None:
+        dealt = runs(batch, most).persist()
+        try:
+            last = dealt.agg(F.max("run")).first()[0]
+            for k in range(0 if last is None else last + 1):
+                apply(last_requests(dealt.where(F.col("run") == k).drop("run")), n)
+        finally:
+            dealt.unpersist()
+
+    return hand
+
+
+def consume(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 seconds", most: int = 1000) -> StreamingQuery:
+    """Hands the last requests of each micro-batch to ``apply``, at most ``most`` requests of a type at a time, the oldest first.
+    ``apply`` has to bear a batch's return after a failure."""
+    return stream.writeStream.foreachBatch(_handed(apply, most)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
-def consume_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def consume_available(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, most: int = 1000) -> None:
     """As consume, over what has arrived so far."""
-    stream.writeStream.foreachBatch(lambda batch, n: apply(last_requests(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(_handed(apply, most)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

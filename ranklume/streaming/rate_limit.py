@@ -50,7 +50,7 @@ def limited(events: DataFrame, key: str, ts: str, limit: int, window_ms: int, ti
         for batch in batches:
             rows = []
             for k, at in zip(batch[key].tolist(), batch["at_ms"].tolist(), strict=True):
-                if k != now:
+                if k != now and not (pd.isna(k) and pd.isna(now)):  # a null key is one key, though it may arrive as a number that equals none
                     now, window = k, Recent(limit, window_ms)
                 rows.append(window.arrive(at))
             yield pd.concat([batch[[key, tie]].reset_index(drop=True), pd.DataFrame(rows, columns=["allowed", "remaining", "retry_after_ms"])], axis=1)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from graphlib import TopologicalSorter
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Each result and what it is computed from.
 DEPENDS = {
     "list_weight": {"lists", "penalties", "book_countries"},
@@ -24,3 +27,15 @@ def due(*changed: str) -> list[str]:
         if DEPENDS[name] & hit:
             hit.add(name)
     return [x for x in order if x in hit and x not in changed]
+
+
+#: Fixed value: seconds from a merge to the recomputation of what it touches.
+MERGE_DELAY = 300
+
+
+def ready(requests: DataFrame, done: DataFrame, now, delay: int = MERGE_DELAY) -> DataFrame:
+    """Targets whose requests (target, ts) have waited ``delay`` seconds by ``now`` and came after their last recomputation in
+    done (target, ts): one row each, however many requests there are."""
+    last = done.groupBy("target").agg(F.max("ts").alias("done_ts"))
+    waited = F.col("ts") <= F.lit(now).cast("timestamp") - F.expr(f"interval {int(delay)} seconds")
+    return requests.where(waited).join(last, "target", "left").where("done_ts is null or ts > done_ts").groupBy("target").agg(F.min("ts").alias("asked"))

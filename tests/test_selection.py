@@ -80,6 +80,21 @@ def test_queue_stream(spark, tmp_path):
     assert sorted((r["parent_id"], r["action"]) for r in seen) == [(7, 1), (8, 0)]
 
 
+def test_null_keys_are_one_key(spark):
+    rows = [(i, None if i % 2 else 5, 1_700_000_000_000 + i) for i in range(8)]
+    events = spark.createDataFrame(rows, "id long, k int, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    got = {r["id"]: r["allowed"] for r in rate_limit.limited(events, "k", "ts", 1, 10_000, "id").collect()}
+    assert [i for i, ok in got.items() if ok] and sorted(i for i, ok in got.items() if ok) == [0, 1]
+
+
+def test_queue_takes_the_oldest_first(spark, tmp_path):
+    rows = [(i, "Books::Book" if i % 3 else "Books::Author", i % 4, 0) for i in range(30)]
+    spark.createDataFrame(rows, "id long, parent_type string, parent_id long, action int").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(str(tmp_path / "q"))
+    seen = []
+    index_queue.consume_available(index_queue.requests(spark, str(tmp_path / "q")), lambda batch, n: seen.append(sorted(r["id"] for r in batch.collect())), str(tmp_path / "cp"), most=5)
+    assert len(seen) == 4 and max(seen[0]) < 15 and max(seen[3]) == 29 and all(len(x) <= 8 for x in seen)
+
+
 def test_limited_stream(spark, tmp_path):
     rows = [(1, 1_700_000_000_000 + 1000 * i) for i in range(6)]
     spark.createDataFrame(rows, "k long, ms long").select("k", F.timestamp_millis("ms").alias("ts")).write.parquet(str(tmp_path / "e"))
