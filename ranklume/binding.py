@@ -15,6 +15,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 VIEWS: dict[str, str] = {
     "lists": """SELECT CAST(o_orderkey AS BIGINT) AS id, 'Books::List' AS type, CONCAT('List ', CAST(o_orderkey AS STRING)) AS name,
+        CONCAT('Paper ', CAST(o_custkey % 70 AS STRING)) AS source, CONCAT('https://lists.example/', CAST(o_custkey AS STRING)) AS url,
         CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 3 END AS status, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS year_published,
         CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE CAST(o_custkey % 100 + 1 AS INT) END AS number_of_voters,
         CASE WHEN o_custkey % 7 = 0 THEN CAST(o_custkey % 60 + 1 AS INT) END AS num_years_covered,
@@ -57,7 +58,7 @@ VIEWS: dict[str, str] = {
     "penalties": """SELECT * FROM (VALUES (1, CAST(NULL AS INT), 10), (2, CAST(NULL AS INT), 25), (3, 0, 40), (4, 1, 10), (5, 2, 5), (6, 3, 15), (7, 4, 8), (8, 5, 12), (9, 6, 30), (10, 7, 6), (11, 8, 20), (12, 5, 3)) AS p(id, dynamic_type, value)""",
     "list_penalties": """SELECT id AS list_id, 1 AS penalty_id FROM lists WHERE id % 23 = 0 UNION ALL SELECT id AS list_id, 2 AS penalty_id FROM lists WHERE id % 29 = 0""",
     "user_list_items": """SELECT list_id * 1000000 + listable_id AS id, list_id AS user_list_id, listable_id, CASE WHEN position % 5 = 0 THEN NULL ELSE position END AS position
-        FROM list_items WHERE list_id < 400 AND listable_id IS NOT NULL""",
+        FROM list_items WHERE listable_id IS NOT NULL""",
     "user_lists": """SELECT DISTINCT user_list_id AS id, user_list_id % 40 AS user_id, CAST(user_list_id % 4 AS INT) AS list_type, user_list_id % 3 = 0 AS public FROM user_list_items""",
     "editions": """SELECT list_id * 100000 + listable_id AS id, listable_id AS book_id, CASE WHEN position = 1 THEN NULL ELSE CAST(position * 13 % 7 AS INT) END AS popularity
         FROM list_items WHERE listable_id IS NOT NULL AND list_id % 3 = 0""",
@@ -115,7 +116,14 @@ class Catalog:
         return self._made[name]
 
     def _view(self, name: str) -> DataFrame:
-        sql = VIEWS[name]
+        if name == "ranked_items":  # one window in SQL, ranges of scores here
+            from .operators.ranking import ranked
+
+            scores = re.search(r"FROM \((.*)\) s$", VIEWS[name], re.S)[1]
+            return ranked(self._frame(scores), most=self.lineitem.count()).select("item_id", "rank", "score")
+        return self._frame(VIEWS[name])
+
+    def _frame(self, sql: str) -> DataFrame:
         read = {w: getattr(self, w) for w in set(re.findall(r"(?:FROM|JOIN)\s+(\w+)", sql)) if w in TABLES or w in VIEWS}
         text = re.sub(r"(FROM|JOIN)\s+(\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in read else m[0], sql)
         return self.spark.sql(text, **read)

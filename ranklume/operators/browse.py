@@ -82,8 +82,9 @@ def browse_counts(links: DataFrame, names: DataFrame, key: str, ranked_items: Da
 
 
 def lists_page(lists: DataFrame, weights: DataFrame, text: str | None = None, sort: str = "weight") -> DataFrame:
-    """Active lists whose name holds the text, by weight or, newest first, by year; nulls last, then by name."""
-    found = lists.where("status = 3").where(contains_ci(F.col("name"), text)).join(weights.select("id", "weight"), "id")
+    """Active lists whose name, source or address holds the text, by weight or, newest first, by year; nulls last, then by name."""
+    holds = F.coalesce(contains_ci(F.col("name"), text) | contains_ci(F.col("source"), text) | contains_ci(F.col("url"), text), F.lit(False))
+    found = lists.where("status = 3").where(holds).join(weights.select("id", "weight"), "id")
     first = F.desc_nulls_last("year_published") if sort == "newest" else F.desc_nulls_last("weight")
     return found.orderBy(first, "name", "id").select("id", "name", "year_published", "weight")
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..functions.columns import unused
 from ..functions.scoring import flag
+from ..registry import WEIGHTS
 from ..schemas import PENALTY_TYPE
 
 
@@ -31,61 +32,77 @@ def percentage_western(items: DataFrame, book_countries: DataFrame, countries: D
     return items.where("listable_id is not null").join(western, "listable_id", "left").groupBy("list_id").agg(F.round(100.0 * F.count("western") / F.count("*"), 2).alias("percentage_western"))
 
 
+#: The first years of media whose lists can reach back to their beginnings.
+FIRST_YEARS = {"Books": -3000, "Movies": 1888, "Games": 1958}
+
+
 def year_range(list_type: str, as_of_year: int, earliest: int | None = None, latest: int | None = None) -> int:
     """Years that a list of the type can cover; the first years of books, movies and games are fixed values."""
-    first = {"Books::List": -3000, "Movies::List": 1888, "Games::List": 1958}.get(list_type)
-    if first is not None:
-        return as_of_year - first + 1
-    if list_type.startswith("Music::"):
+    medium = list_type.split("::")[0]
+    if medium in FIRST_YEARS:
+        return as_of_year - FIRST_YEARS[medium] + 1
+    if medium == "Music":
         return 100 if earliest is None else max(latest or as_of_year, as_of_year) - earliest + 1
     return 100
 
 
-def list_weight(lists: DataFrame, penalties: DataFrame, list_penalties: DataFrame, western: DataFrame, *, min_weight: int = 1, as_of_year: int = 2024, median: float = 50.0, western_threshold: float = 90.0) -> DataFrame:
+@WEIGHTS.add(1)
+def list_weight(lists: DataFrame, penalties: DataFrame, list_penalties: DataFrame, western: DataFrame, *, min_weight: int = 1, as_of_year: int = 2024, median: float = 50.0, western_threshold: float = 90.0, music_years: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """Weight of each list: 100 less its penalties, at least ``min_weight``; ``details`` names each part.
 
     penalties (id, dynamic_type, value) are those that apply in the configuration; static ones have no dynamic_type and count
-    where list_penalties links them. The penalties' sums per type are one small row; nothing is shuffled but the links.
+    where list_penalties links them. How many years a list can cover depends on its type; music_years are the first and last years
+    of albums and songs. The penalties' sums per type are one small row; nothing is shuffled but the links.
     """
     kinds = {v: k for k, v in PENALTY_TYPE.items()}
     sums = penalties.groupBy().agg(*[F.coalesce(F.sum(F.when(F.col("dynamic_type") == code, F.col("value"))), F.lit(0)).alias(f"most_{name}") for code, name in kinds.items()])
     static = list_penalties.join(penalties.where("dynamic_type is null").select(F.col("id").alias("penalty_id"), "value"), "penalty_id").groupBy("list_id").agg(F.sum("value").alias("static"))
     x = lists.join(static, lists["id"] == static["list_id"], "left").drop("list_id").join(western, lists["id"] == western["list_id"], "left").drop("list_id").join(F.broadcast(sums))  # one row
-    full = year_range("Books::List", as_of_year)
+    full = F.lit(float(year_range("", as_of_year)))
+    for medium in (*FIRST_YEARS, "Music"):
+        full = F.when(F.col("type").startswith(f"{medium}::"), F.lit(float(year_range(f"{medium}::List", as_of_year, *music_years)))).otherwise(full)
     flags = [(name, flag(F.col(name))) for name in ("voter_names_unknown", "voter_count_unknown", "voter_count_estimated", "category_specific", "location_specific", "creator_specific")]
     western_hit = ~flag(F.col("location_specific")) & (F.col("percentage_western") >= western_threshold)
     parts: dict[str, Column] = {"static": F.coalesce("static", F.lit(0)).cast("double"), "number_of_voters": scoring.voter_penalty(F.col("number_of_voters"), F.lit(median), F.col("most_number_of_voters"))}
     parts |= {name: F.when(hit, F.col(f"most_{name}")).otherwise(0).cast("double") for name, hit in [*flags, ("percentage_western", F.coalesce(western_hit, F.lit(False)))]}
-    parts["num_years_covered"] = scoring.shortfall_penalty(F.col("num_years_covered"), F.lit(float(full)), F.col("most_num_years_covered"))
+    parts["num_years_covered"] = scoring.shortfall_penalty(F.col("num_years_covered"), full, F.col("most_num_years_covered"))
     total = sum(parts.values(), F.lit(0.0)) * F.when(flag(F.col("high_quality_source")), F.lit(2.0) / 3).otherwise(1.0)
     weight = F.round(F.greatest(100 - F.least(total, F.lit(100.0)), F.lit(float(min_weight)))).cast("int")
     details = F.struct(*[c.alias(n) for n, c in parts.items()], flag(F.col("high_quality_source")).alias("reduced"))
     return x.select("id", F.round(total, 6).alias("penalty_percentage"), weight.alias("weight"), details.alias("details"))
 
 
-def ranked(scores: DataFrame, score: str = "score", key: str = "item_id", rank: str = "rank", parts: int = 32) -> DataFrame:
-    """Sequential ranks 1..N by score, then key, without one task for all rows; null scores are last.
+#: Rows that one task ranks.
+ROWS_EACH = 1_000_000
+
+
+def ranked(scores: DataFrame, score: str = "score", key: str = "item_id", rank: str = "rank", most: int | None = None) -> DataFrame:
+    """Sequential ranks 1..N by score, then key; null scores are last. ``most`` is a bound of the number of rows where one is known.
 
-    Approximate quantiles of the scores (the only thing the driver asks for) cut the rows into ranges; a score that is a cut
-    itself may have very many rows and is cut again by key. Ranges are ranked apart, and what stands before one is a prefix
-    sum over as many rows as there are ranges. The cuts are constants, so every evaluation deals rows alike.
-    The scores, a row for each item, are read three times and kept by the executors until the session's cache is cleared.
+    Up to ROWS_EACH rows are one window. More are cut into ranges of about half as many by approximate quantiles of the scores;
+    a score that is a cut itself may have very many rows and is cut again by key. Ranges are ranked apart, and what stands before
+    one is a prefix sum over as many rows as there are ranges. The cuts are constants, so every evaluation deals rows alike. The
+    scores are read several times then, so they are checkpointed where the session names a folder.
     """
-    scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
+    n = scores.count() if most is None or most > ROWS_EACH else most
+    if n <= ROWS_EACH:
+        return scores.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(score), F.asc(key))).cast("int"))
+    if scores.sparkSession.sparkContext.getCheckpointDir():
+        scores = scores.checkpoint()
+    parts = -(-2 * n // ROWS_EACH)
     at, of = F.col(score).cast("double"), F.col(key).cast("double")
     shares = [i / parts for i in range(1, parts)]
     values, keys = scores.select(at.alias("s"), of.alias("k")).approxQuantile(["s", "k"], shares, 0.2 / parts)
-    if not values:
-        return scores.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
-    cuts = F.array(*[F.lit(float(v)) for v in sorted(set(values))])
+    cuts = F.array(*[F.lit(float(v)) for v in sorted(set(values))] or [F.lit(0.0)])
     above = F.size(F.filter(cuts, lambda c: c > at)) + F.size(F.filter(cuts, lambda c: c >= at))
     by_key = F.size(F.filter(F.array(*[F.lit(float(k)) for k in sorted(set(keys))] or [F.lit(0.0)]), lambda c: c <= of))
-    dealt = scores.withColumn("_part", F.when(at.isNull(), 10 * parts).otherwise(above)).withColumn("_sub", F.when(F.array_contains(cuts, at), by_key).otherwise(0))
-    within = Window.partitionBy("_part", "_sub").orderBy(F.desc_nulls_last(score), F.asc(key))
-    sizes = dealt.groupBy("_part", "_sub").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_sub", "_before")
-    numbered = dealt.withColumn("_n", F.row_number().over(within)).join(F.broadcast(before), ["_part", "_sub"])
-    return numbered.withColumn(rank, (F.col("_n") + F.col("_before")).cast("int")).drop("_part", "_sub", "_n", "_before")
+    part, sub, number, size, before = (unused(x, scores) for x in ("part", "sub", "number", "size", "before"))
+    dealt = scores.withColumn(part, F.when(at.isNull(), 10 * parts).otherwise(above)).withColumn(sub, F.when(at.isNull() | F.array_contains(cuts, at), by_key).otherwise(0))
+    within = Window.partitionBy(part, sub).orderBy(F.desc_nulls_last(score), F.asc(key))
+    sizes = dealt.groupBy(part, sub).agg(F.count("*").alias(size))
+    sums = sizes.withColumn(before, F.coalesce(F.sum(size).over(Window.orderBy(part, sub).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(part, sub, before)
+    numbered = dealt.withColumn(number, F.row_number().over(within)).join(F.broadcast(sums), [part, sub])  # a row for each range
+    return numbered.withColumn(rank, (F.col(number) + F.col(before)).cast("int")).drop(part, sub, number, before)
 
 
 def item_scores(lists: DataFrame, items: DataFrame, weights: DataFrame, item_years: DataFrame, *, max_age: int | None = 50, max_percentage: int | None = 80, exponent: float = 3.0, bonus: float = 3.0, median: DataFrame | None = None) -> DataFrame:

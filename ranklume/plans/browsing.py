@@ -67,14 +67,14 @@ def browse_countries(c) -> DataFrame:
 LISTS = f"WITH {WEIGHT}, w AS (SELECT id, CAST(ROUND(GREATEST(100 - LEAST(t, 100), 1)) AS INT) AS weight FROM weighted) SELECT l.id, l.name, l.year_published, w.weight FROM lists l JOIN w ON w.id = l.id WHERE l.status = 3"
 
 
-@plan(f"{LISTS} AND l.name ILIKE '%12%' ORDER BY weight DESC NULLS LAST, name, id LIMIT 100")
+@plan(f"{LISTS} AND (l.name ILIKE '%12%' OR l.source ILIKE '%12%' OR l.url ILIKE '%12%') ORDER BY weight DESC NULLS LAST, name, id")
 def lists_by_weight(c) -> DataFrame:
-    return browse.lists_page(c.lists, _weights(c), "12").limit(100)
+    return browse.lists_page(c.lists, _weights(c), "12")
 
 
-@plan(f"{LISTS} ORDER BY year_published DESC NULLS LAST, name, id LIMIT 100")
+@plan(f"{LISTS} ORDER BY year_published DESC NULLS LAST, name, id")
 def lists_newest(c) -> DataFrame:
-    return browse.lists_page(c.lists, _weights(c), None, "newest").limit(100)
+    return browse.lists_page(c.lists, _weights(c), None, "newest")
 
 
 @plan(f"""
@@ -84,11 +84,11 @@ WITH sums AS (
   JOIN authors a ON a.id = ba.author_id AND NOT a.exclude_from_rankings WHERE r.score > 0 GROUP BY ba.author_id),
 scored AS (SELECT author_id, CAST(ROUND(total * {MULTIPLIER}, 2) AS DECIMAL(20,2)) AS score FROM sums),
 placed AS (SELECT author_id, CAST(ROW_NUMBER() OVER (ORDER BY score DESC, author_id) AS INT) AS rank FROM scored WHERE score > 0)
-SELECT a.id, a.name, p.rank FROM placed p JOIN authors a ON a.id = p.author_id ORDER BY p.rank LIMIT 50
+SELECT a.id, a.name, p.rank FROM placed p JOIN authors a ON a.id = p.author_id ORDER BY p.rank
 """)
 def ranked_authors(c) -> DataFrame:
     found = ranking.author_ranking(c.ranked_items, c.book_authors, c.authors)
-    return found.join(c.authors.select(F.col("id").alias("author_id"), "name"), "author_id").orderBy("rank").limit(50).select(F.col("author_id").alias("id"), "name", "rank")
+    return found.join(c.authors.select(F.col("id").alias("author_id"), "name"), "author_id").orderBy("rank").select(F.col("author_id").alias("id"), "name", "rank")
 
 
 @plan("SELECT b.id, b.title, b.first_published_year, r.rank FROM book_authors a JOIN books b ON b.id = a.book_id LEFT JOIN ranked_items r ON r.item_id = b.id WHERE a.author_id = 7 AND a.role = 0")
@@ -107,13 +107,13 @@ def ranked_by_category(c) -> DataFrame:
     return browse.top_per_group(links, "category", "rank", 10, "item_id").join(c.books.select(F.col("id").alias("item_id"), "title"), "item_id").select("category", "item_id", "rank", "title")
 
 
-@plan("SELECT r.item_id, r.rank, s.title FROM ranked_items r JOIN songs s ON s.id = r.item_id WHERE s.release_year BETWEEN 1990 AND 1999 ORDER BY r.rank LIMIT 100")
+@plan("SELECT r.item_id, r.rank, s.title FROM ranked_items r JOIN songs s ON s.id = r.item_id WHERE s.release_year BETWEEN 1990 AND 1999 ORDER BY r.rank")
 def ranked_by_year(c) -> DataFrame:
     from ..functions.predicates import parse_years, years_between
 
     years = parse_years("1990s")
     songs = c.songs.where(years_between(F.col("release_year"), years.start, years.end)).select(F.col("id").alias("item_id"), "title")
-    return c.ranked_items.join(songs, "item_id").orderBy("rank").limit(100).select("item_id", "rank", "title")
+    return c.ranked_items.join(songs, "item_id").orderBy("rank").select("item_id", "rank", "title")
 
 
 @plan("SELECT author_id, book_id, rank, place FROM (SELECT a.author_id, a.book_id, r.rank, CAST(ROW_NUMBER() OVER (PARTITION BY a.author_id ORDER BY r.rank, a.book_id) AS INT) AS place FROM book_authors a JOIN ranked_items r ON r.item_id = a.book_id) t WHERE place <= 3")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ranklume.functions import scoring
 from ranklume.operators import ranking
+from ranklume.schemas import PENALTY_TYPE
 
 LISTS = "id long, status int, type string, number_of_voters int, num_years_covered int, high_quality_source boolean, voter_names_unknown boolean, voter_count_unknown boolean, voter_count_estimated boolean, category_specific boolean, location_specific boolean, creator_specific boolean"
 
@@ -61,7 +62,9 @@ def test_book_length(spark, pages, words, band):
 
 
 @pytest.mark.parametrize("score", ["cast(id % 7 as double)", "cast(if(id % 3 = 0, 5, id % 101) as decimal(20,2))", "if(id % 11 = 0, null, cast(id as double))", "cast(null as double)", "1.0"])
-def test_ranks_are_sequential(spark, score):
+@pytest.mark.parametrize("each", [1_000_000, 200])
+def test_ranks_are_sequential(spark, monkeypatch, each, score):
+    monkeypatch.setattr(ranking, "ROWS_EACH", each)  # 200: ranges
     got = ranking.ranked(spark.range(3000).selectExpr("id as item_id", f"{score} as score").repartition(7)).collect()
     want = sorted(got, key=lambda r: (r["score"] is None, -(r["score"] or 0), r["item_id"]))
     assert [r["rank"] for r in want] == list(range(1, 3001))
@@ -73,3 +76,17 @@ def test_kernel_properties(spark):
     assert part(position=1) > part(position=2) > part(position=9)
     assert part(weight=60) > part() > part(penalty=0.5)
     assert part(exponent=2.0) != part() != part(bonus=9.0)
+
+
+def test_years_that_a_list_can_cover(spark):
+    assert ranking.year_range("Books::List", 2024) == 5025 and ranking.year_range("Movies::List", 2024) == 137 and ranking.year_range("Games::List", 2024) == 67
+    assert ranking.year_range("Music::Songs::List", 2024) == 100 and ranking.year_range("Music::Albums::List", 2024, 1950, 2030) == 81 and ranking.year_range("Music::Albums::List", 2024, 1950, 2000) == 75
+    assert ranking.year_range("List", 2024) == 100
+    flags = ("voter_names_unknown", "voter_count_unknown", "voter_count_estimated", "category_specific", "location_specific", "creator_specific", "high_quality_source")
+    kinds = ["Books::List", "Games::List", "Music::Songs::List", "List"]
+    lists = spark.createDataFrame([(i, k, 50) for i, k in enumerate(kinds)], "id long, type string, num_years_covered int").select("*", F.lit(None).cast("int").alias("number_of_voters"), *[F.lit(False).alias(f) for f in flags])
+    penalties = spark.createDataFrame([(1, PENALTY_TYPE["num_years_covered"], 40)], "id int, dynamic_type int, value int")
+    none = spark.createDataFrame([], "list_id long, penalty_id int")
+    western = spark.createDataFrame([], "list_id long, percentage_western double")
+    got = {r["id"]: r["penalty_percentage"] for r in ranking.list_weight(lists, penalties, none, western, music_years=(1950, 2000)).collect()}
+    assert got == {i: round(40 * (1 - 50 / n) ** 2, 6) for i, n in enumerate((5025, 67, 75, 100))}
