@@ -207,6 +207,21 @@ def test_quality_and_toxicity_on_held_out_labels(spark):
         assert x.between(0, 1).all()
 
 
+def test_quality_is_a_sum_of_table_entries():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    model = quality.boosted(x, y, rounds=40)
+    bins = quality.binned(x, model.edges)
+    got = quality.score(bins, model)
+    for row, p in zip(x[:60], got, strict=False):
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.base + sum(t[k] for t, k in zip(model.tables, at, strict=True)) + sum(t[at[a], at[b]] for a, b, t in model.pairs)
+        assert p == pytest.approx(1 / (1 + math.exp(-total)))
+    assert ((got > 0.5) == (y == 1)).mean() > 0.9 and len(model.pairs) == 6  # only a pair tells these labels
+    assert quality.features(None) == quality.features("") == [0.0] * len(quality.FEATURES)
+
+
 def test_scores_without_labels(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.fit(docs, labels) is None and quality.fit(docs, labels) is None and toxicity.fit(none, labels) is None
@@ -557,7 +572,8 @@ def test_decontamination(spark, none):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
-    assert got == {(0, 3), (2, 4), (6, 6), (6, 7), (7, 8)} or got == {(0, 3), (2, 4), (6, 7), (7, 8)}
+    # item 6 runs into item 7 without a space, so its last word is another one, but over 0.8 of its shingles are there
+    assert got == {(0, 3), (2, 4), (6, 6), (6, 7), (7, 8)}
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
