@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 #: The template: OPEN role MID text CLOSE for each turn. No escaped role or text has '#' or '<', no escaped role has ':'.
 OPEN, MID, CLOSE = "### ", ": ", "</turn>\n"
 #: Control characters and their escapes. The backslash is escaped first and restored last.
@@ -69,12 +71,75 @@ LAYOUTS = [
 ]
 
 
+def known_paths(paths: tuple[str, ...]) -> str:
+    """The fingerprint of a set of field names, of which only those that some layout has are given."""
+    return hashlib.sha256(",".join(sorted(paths)).encode()).hexdigest()
+
+
+def named_fields(kind: T.DataType, at: str = "") -> list[str]:
+    """Names of fields at any depth, without types: ``messages[].role``. Parts of a content count as the content itself."""
+    if isinstance(kind, T.StructType):
+        return sorted(p for f in kind.fields for p in [f"{at}.{f.name}".lstrip("."), *(named_fields(f.dataType, f"{at}.{f.name}".lstrip(".")) if f.name != "content" else [])])
+    return named_fields(kind.elementType, f"{at}[]") if isinstance(kind, T.ArrayType) else []
+
+
+def known_fields() -> list[str]:
+    """Every field that some layout has: what a payload has beside them changes no fingerprint."""
+    return sorted({p for x in LAYOUTS for p in named_fields(x.schema)})
+
+
+def _text(content: Column) -> Column:
+    """A message's content: a string, or the texts of its parts of type text, joined."""
+    parts = F.try_variant_get(content, "$", "array<struct<type:string,text:string>>")
+    joined = F.array_join(F.transform(F.filter(parts, lambda q: q["type"] == "text"), lambda q: q["text"]), "")
+    return F.when(F.schema_of_variant(content).startswith("ARRAY"), joined).otherwise(F.try_variant_get(content, "$", "string"))
+
+
+def _said_in(value: Column, x: Layout) -> Column:
+    """TURNS of a parsed payload by a layout's mapping; of messages each content may be a string or parts."""
+    arrays = {f.name for f in x.schema.fields if f.name == "messages"}
+    fields = [F.try_variant_get(value, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in x.schema.fields if f.name not in arrays]
+    if arrays:
+        mixed = F.try_variant_get(value, "$.messages", "array<struct<role:string,content:variant>>")
+        fields.append(F.transform(mixed, lambda m: F.struct(m["role"].alias("role"), _text(m["content"]).alias("content"))).alias("messages"))
+    return F.element_at(F.transform(F.array(F.struct(*fields)), lambda p: _mapped(x, p)), 1)
+
+
+def _mapped(x: Layout, p: Column) -> Column:
+    """A layout's mapping over a struct of its fields."""
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    if x.name in PAIRS:
+        return F.array(*[said(role, p[f]) for role, f in PAIRS[x.name]])
+    if x.name == "instruction_input_output":
+        asked = F.concat_ws("\n\n", p["instruction"], F.nullif(p["input"], F.lit("")))
+        return F.array(said("user", asked), said("assistant", p["output"]))
+    if x.name == "from_value":
+        names = F.create_map(*[F.lit(v) for kv in SPEAKERS.items() for v in kv])
+        return F.transform(p["conversations"], lambda m: F.struct(F.coalesce(F.try_element_at(names, m["from"]), m["from"]).alias("role"), m["value"].alias("text")))
+    if x.name == "turn_rows":
+        return F.transform(F.array_sort(p["turns"]), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text")))
+    turns = F.transform(p["messages"], lambda m: F.struct(m["role"].alias("role"), m["content"].alias("text")))
+    return F.concat(F.array(said("system", p["system"])), turns) if x.name == "system_messages" else turns
+
+
+#: Layouts of single fields, with the role of each, and other names of roles.
+PAIRS = {
+    "prompt_response": (("user", "prompt"), ("assistant", "response")),
+    "prompt_completion": (("user", "prompt"), ("assistant", "completion")),
+    "question_answer": (("user", "question"), ("assistant", "answer")),
+    "instruction_output": (("user", "instruction"), ("assistant", "output")),
+    "system_prompt_response": (("system", "system"), ("user", "prompt"), ("assistant", "response")),
+}
+SPEAKERS = {"human": "user", "gpt": "assistant"}
+
+
 def canonical_turns(df: DataFrame, payload: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, ``layout`` (the mapping's name) and ``turns``, the rows' canonical turns.
 
     payload None: the schema of df without ``keep`` is fingerprinted, and one mapping serves all rows; an unknown
     layout raises ValueError. payload: a column of JSON strings in mixed layouts, fingerprinted row by row from the
-    paths of the parsed value; unknown or broken JSON gives null for both. Null arrays of turns stay null; null roles
+    names of those of its fields that some layout has; other fields are ignored, an empty array of messages is one without
+    turns, and unknown or broken JSON gives null for both. Null arrays of turns stay null; null roles
     and texts become empty ones; turns of equal number are ordered by role, then text.
     """
     if payload is None:
@@ -83,15 +148,17 @@ def canonical_turns(df: DataFrame, payload: str | None = None, keep: tuple[str,
         if found is None:
             raise ValueError(f"no mapping for the layout {field_paths(kind)}")
         return df.select(*keep, F.lit(found.name).alias("layout"), _filled(F.expr(found.turns.format(p=""))).alias("turns"))
-    shape = F.expr(f"schema_of_variant(try_parse_json(`{payload}`))")
-    out = df.select(*keep, F.col(payload), F.sha2(F.regexp_replace(shape, "VOID", "STRING"), 256).alias("_key"))
-    turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
-    for i, x in enumerate(LAYOUTS):
-        known = F.col("_key") == hashlib.sha256(_variant_shape(x.schema).encode()).hexdigest()
-        out = out.withColumn(f"_p{i}", F.when(known, F.from_json(payload, x.ddl)))
-        turns = F.when(known, F.expr(x.turns.format(p=f"_p{i}."))).otherwise(turns)
-        name = F.when(known, F.lit(x.name)).otherwise(name)
-    return out.select(*keep, name.alias("layout"), _filled(turns).alias("turns"))
+    value, key = unused(df, "parsed"), unused(df, "print")
+    out = df.withColumn(value, F.try_parse_json(payload))
+    there = [F.when(F.try_variant_get(value, "$." + name.replace("[]", "[0]"), "variant").isNotNull(), name) for name in known_fields()]
+    out = out.withColumn(key, F.sha2(F.concat_ws(",", *there), 256))
+    turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
+    for x in reversed(LAYOUTS):
+        names = named_fields(x.schema)
+        prints = {known_paths(tuple(names)), known_paths(tuple(n for n in names if "[]" not in n))}
+        known = F.col(key).isin(*sorted(prints))
+        turns, layout = F.when(known, _said_in(F.col(value), x)).otherwise(turns), F.when(known, F.lit(x.name)).otherwise(layout)
+    return out.select(*keep, layout.alias("layout"), _filled(turns).alias("turns"))
 
 
 def _widened(kind: T.StructType) -> T.StructType:
@@ -107,15 +174,6 @@ def _widened(kind: T.StructType) -> T.StructType:
     return wide(kind)
 
 
-def _variant_shape(kind: T.DataType) -> str:
-    """The text that schema_of_variant gives for a value of this type; it orders fields by name."""
-    if isinstance(kind, T.StructType):
-        return "OBJECT<" + ", ".join(f"{f.name}: {_variant_shape(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
-    if isinstance(kind, T.ArrayType):
-        return f"ARRAY<{_variant_shape(kind.elementType)}>"
-    return kind.simpleString().upper()
-
-
 def _filled(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
@@ -138,8 +196,9 @@ def formatted(df: DataFrame, turns: str = "turns", learned: tuple[str, ...] = ("
     Both come from one pass over the turns; null turns give an empty string and no spans.
     """
     parts = F.transform(F.coalesce(F.col(turns), F.array().cast(TURNS)), lambda t: F.struct(F.concat(F.lit(OPEN), escaped(t["role"]), F.lit(MID)).alias("head"), escaped(t["text"]).alias("body"), t["role"].isin(*learned).alias("learn")))
-    out = df.withColumn("_parts", parts)
-    out = out.withColumn("formatted", F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), ""))
+    held = unused(df, "parts")
+    out = df.withColumn(held, parts)
+    out = out.withColumn("formatted", F.array_join(F.transform(held, lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), ""))
     begun = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -147,7 +206,7 @@ def formatted(df: DataFrame, turns: str = "turns", learned: tuple[str, ...] = ("
         span = F.array(F.struct(start.cast("long").alias("start"), F.length(p["body"]).cast("long").alias("length")))
         return F.struct((start + F.length(p["body"]) + len(CLOSE)).cast("long").alias("at"), F.when(p["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return out.withColumn("loss_spans", F.aggregate("_parts", begun, step)["spans"]).drop("_parts")
+    return out.withColumn("loss_spans", F.aggregate(held, begun, step)["spans"]).drop(held)
 
 
 def turns_of(text: Column) -> Column:

@@ -277,6 +277,14 @@ def test_chat_layouts(spark):
     got = chat_format.canonical_turns(spark.createDataFrame(list(enumerate(payloads)), "id int, payload string"), "payload", ("id",)).orderBy("id").collect()
     assert [r["layout"] for r in got] == ["prompt_response", "messages", "instruction_input_output", "from_value", "prompt_response", None, None, None]
     assert [t["text"] for t in got[2]["turns"]] == ["i\n\nx", "o"] and [t["role"] for t in got[3]["turns"]] == ["user", "assistant"]
+    more = ['{"prompt":"p","response":"r","source":"web","meta":{"prompt":1}}', '{"messages":[{"role":"user","content":"q","name":"x"},{"role":"assistant","content":[{"type":"text","text":"a"},{"type":"image","url":"u"},{"type":"text","text":"b"}]}],"id":7}', '{"messages":[]}', '{"system":"s","messages":[{"content":"c","role":"user"}]}', '{"turns":[{"turn":2,"role":"assistant","text":"two"},{"turn":1,"role":"user","text":"one"}]}', '{"conversations":[{"from":"tool","value":"v","weight":0}]}', '{"prompt":"p","response":null}', '{"prompt":"p"}', '[1,2]', '"text"', '{"question":"q","answer":"a"}', '{"system":"s","prompt":"p","response":"r"}', '{"prompt":"p","completion":"c"}', '{"instruction":"i","output":"o"}']
+    got = chat_format.canonical_turns(spark.createDataFrame(list(enumerate(more)), "id int, print string"), "print", ("id",)).orderBy("id").collect()
+    said = [(r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in got]
+    assert said == [
+        ("prompt_response", [("user", "p"), ("assistant", "r")]), ("messages", [("user", "q"), ("assistant", "ab")]), ("messages", []), ("system_messages", [("system", "s"), ("user", "c")]),
+        ("turn_rows", [("user", "one"), ("assistant", "two")]), ("from_value", [("tool", "v")]), ("prompt_response", [("user", "p"), ("assistant", "")]), (None, None), (None, None), (None, None),
+        ("question_answer", [("user", "q"), ("assistant", "a")]), ("system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]), ("prompt_completion", [("user", "p"), ("assistant", "c")]), ("instruction_output", [("user", "i"), ("assistant", "o")]),
+    ]
     one = chat_format.canonical_turns(spark.createDataFrame([("q", "a")], "answer string, question string"))
     assert one.first()["layout"] == "question_answer"
     with pytest.raises(ValueError):
