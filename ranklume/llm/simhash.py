@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, connected_components, dropped, maybe_among, salted_lookup, small_batches, staged, unused
+from .common import Scratch, connected_components, maybe_among, salted_lookup, small_batches, staged, unused
 
 SEED = 42
 
@@ -100,12 +100,12 @@ def _jaccard(a: str | None, b: str | None, width: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-#: Keys of a set and the minima in each; those that refine a crowded key; words whose hashes a task keeps at hand; shingles whose permutations are held at once.
-BANDS, ROWS, MORE_BANDS, MORE_ROWS, MEMO, AT_ONCE = 20, 6, 6, 3, 300_000, 4096
-#: Bits of a parity map.
-PARITY = 512
-#: The most members of a key that are compared all with all; leaders that a set is compared with at each level; levels.
-CROWD, LEADERS, LEVELS = 16, 2, 3
+#: Minima in a key and keys of a set, at each level: of sets of similarity 0.8, a pair shares a key with a probability of 0.998, 0.97 and 0.94.
+LEVELS = ((6, 20), (9, 24), (12, 40))
+#: Words whose hashes a task keeps at hand; shingles whose permutations are held at once; bits of a parity map.
+MEMO, AT_ONCE, PARITY = 300_000, 4096, 512
+#: The most members of a key that are compared all with all; leaders that a set is compared with at each level.
+CROWD, LEADERS = 16, 8
 
 
 class Shingles(dict):
@@ -133,13 +133,13 @@ class Shingles(dict):
 
 
 class Minima:
-    """Keys of a set of hashes: the minima of permutations, ``rows`` in each of ``bands`` keys. Two sets share one minimum with the probability of their Jaccard similarity."""
+    """A level's keys of a set of hashes, each of some minima of permutations. Two sets share one minimum with the probability of their Jaccard similarity."""
 
-    def __init__(self, level: int, bands: int = BANDS, rows: int = ROWS):
+    def __init__(self, level: int):
         rng = np.random.default_rng(SEED + level)
-        self.bands, self.rows = bands, rows
-        self.odd = rng.integers(0, 1 << 31, bands * rows, np.uint32) * np.uint32(2) + np.uint32(1)
-        self.flip = rng.integers(0, 1 << 32, bands * rows, np.uint32)
+        self.rows, self.bands = LEVELS[level]
+        self.odd = rng.integers(0, 1 << 31, self.bands * self.rows, np.uint32) * np.uint32(2) + np.uint32(1)
+        self.flip = rng.integers(0, 1 << 32, self.bands * self.rows, np.uint32)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(h):
@@ -153,12 +153,13 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """doc_id of every document with a group of others, and ``group``, the smallest doc_id of it.
 
     Documents of equal sets of ``width``-word shingles, or linked by a chain of texts whose sets have a Jaccard similarity of
-    ``similarity`` (above 0) or more, are a group. Candidates share a key of ROWS minima, which two sets of similarity 0.8 do with a
-    probability of 0.998 and more alike ones more often; every link is verified on whole texts. Null texts are empty, and empty
+    ``similarity`` (above 0) or more, are a group. Candidates share a key of several minima (LEVELS), which two sets of similarity 0.8 do
+    with a probability of 0.998 and more alike ones more often; every link is verified on whole texts. Null texts are empty, and empty
     texts are copies of each other. Rows without doc_id are in no group; rows of one doc_id are one document, other columns are not read.
 
     Work is linear in the rows of a key: members of small keys are all compared, those of crowded ones with their keys' leaders, the sets that
-    meet most others. What then shares a crowded key with sets of other groups gets keys of more minima, which unlike sets no longer share.
+    meet most others. Sets that then still share a crowded key with sets of other groups get the next level's keys, of more minima, which
+    unlike sets no longer share; in keys that are crowded even at the last level, leaders alone are compared.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -184,32 +185,26 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     several = prints.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b < high").select("doc_id", "b")
     links = prints.join(several, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     links, _ = staged(links, "near-same")
-    rows, last = None, None
-    for level in range(LEVELS + 1):
+    crowd, new = None, True
+    for level in range(len(LEVELS)):
         with Scratch(spark) as own:
-            roots = own(connected_components(links, "near-links").select(F.col("node").alias("id"), "root"), "near-roots")
-            placed = _apart(_shared(sets.select("id", F.explode("keys").alias("key")), own) if rows is None else rows, roots, own)
-            # what failed against the leaders of crowded keys gets finer ones; at last all are compared with all: sets that share so many minima are nearly always alike
-            crowded = F.col("n") > CROWD if level < LEVELS else F.lit(False)
-            if level:
-                crowd = placed.where(crowded)
-                if not crowd.isEmpty():
-                    placed = own(placed.where(~crowded).unionByName(_apart(_shared(_finer(docs, sets, crowd, width, level, own), own), roots, own)), "near-placed")
+            if new:
+                roots, _ = staged(connected_components(links, "near-links").select(F.col("node").alias("id"), "root"), "near-roots")
+                new = False
+            keyed = _keyed(docs, sets, crowd, width, level, own) if level else sets.select("id", F.explode("keys").alias("key"))
+            placed = _apart(_shared(keyed, own), roots, own)
             if placed.isEmpty():
                 break
-            crowd, few = placed.where(crowded), placed.where(~crowded).select("key", "id", "root")
+            few = placed.where(F.col("n") <= CROWD).select("key", "id", "root")
             small = few.hint("merge").join(few.select("key", F.col("id").alias("b"), F.col("root").alias("of")), "key").where("id < b and root <> of").select("id", "b")
-            tried = own(_leaders(crowd), "near-tried")
-            found, _ = staged(_alike(docs, sets, tried.unionByName(small), maps, width, similarity, own), "near-found")
-            links = links.unionByName(found)
-            # who was compared with a key's leader goes on without it
-            after = crowd.join(tried.withColumnRenamed("b", "lead").withColumn("done", F.lit(True)).hint("merge"), ["id", "lead"], "left")
-            rows, path = staged(after.select("id", F.when(F.col("done"), F.xxhash64("key", "lead")).otherwise(F.col("key")).alias("key"), "meets"), "near-rows")
-        if last:
-            dropped(spark, last)
-        last = path
-    roots = connected_components(links, "near-links")
-    members = prints.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
+            crowded = placed.where(F.col("n") > CROWD)
+            found, _ = staged(_alike(docs, sets, _leaders(crowded).unionByName(small), maps, width, similarity, own), "near-found")
+            new = not found.isEmpty()
+            links = links.unionByName(found) if new else links
+            crowd, _ = staged(crowded.select("id").distinct(), "near-crowd")
+    if new:
+        roots = connected_components(links, "near-links").select(F.col("node").alias("id"), "root")
+    members = prints.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
     members, _ = staged(members, "near-members")
     lowest = members.groupBy("root").agg(F.min("doc_id").alias("group"), F.max("doc_id").alias("high")).where("high > group").select("root", "group")
     return members.join(lowest.hint("merge"), "root").select("doc_id", "group").distinct()
@@ -219,17 +214,17 @@ def _shared(keyed: DataFrame, own: Scratch) -> DataFrame:
     """Rows (id, key) of keys with several sets, and ``meets``, how many a set meets. Of keys with the same members one is enough."""
     keyed = own(keyed.distinct(), "near-keyed")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("met"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.bit_xor(F.xxhash64(F.lit(SEED), "id")).alias("also")).where("met > 1")
-    sizes = own(sizes.groupBy("met", "who", "also").agg(F.min("key").alias("key")).select("key", "met"), "near-sizes")
-    rows = own(keyed.join(sizes.hint("merge"), "key"), "near-members")
-    meets = rows.groupBy("id").agg(F.sum("met").alias("meets"))
-    return own(rows.select("id", "key").join(meets.hint("merge"), "id").select("id", "key", "meets"), "near-shared")
+    sizes = sizes.groupBy("met", "who", "also").agg(F.min("key").alias("key")).select("key", "met")
+    # a set has a bounded number of keys, so no window is large
+    rows = keyed.join(sizes.hint("merge"), "key").select("id", "key", F.sum("met").over(Window.partitionBy("id")).alias("meets"))
+    return own(rows, "near-shared")
 
 
 def _apart(rows: DataFrame, roots: DataFrame, own: Scratch) -> DataFrame:
     """The rows of keys whose sets are of several groups, with their ``root``, the key's number of sets and its leader (``lead``, ``of``)."""
     placed = own(rows.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-placed")
     keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("meets", "id", "root")).alias("best")).where("low <> high")
-    keys = own(keys.select("key", "n", F.col("best.id").alias("lead"), F.col("best.root").alias("of"), F.col("best.meets").alias("led")), "near-apart")
+    keys = keys.select("key", "n", F.col("best.id").alias("lead"), F.col("best.root").alias("of"), F.col("best.meets").alias("led"))
     return own(placed.join(keys.hint("merge"), "key"), "near-open")
 
 
@@ -239,19 +234,18 @@ def _leaders(crowd: DataFrame) -> DataFrame:
     return crowd.where("root <> of").groupBy("id").agg(best.alias("x")).select("id", F.explode("x.lead").alias("b"))
 
 
-def _finer(docs: DataFrame, sets: DataFrame, placed: DataFrame, width: int, level: int, own: Scratch) -> DataFrame:
-    """Rows (id, key) of finer keys: every key of the sets in it together with each of their keys of other minima."""
-    some = own(sets.select("id", "hash").dropDuplicates(["id"]).join(placed.select("id").distinct().hint("merge"), "id"), "near-some")
+def _keyed(docs: DataFrame, sets: DataFrame, crowd: DataFrame, width: int, level: int, own: Scratch) -> DataFrame:
+    """Rows (id, key) of a level's keys of the sets in crowd (id)."""
+    some = own(sets.select("id", "hash").dropDuplicates(["id"]).join(crowd.hint("merge"), "id"), "near-some")
     among = maybe_among(some, "hash")
     texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).groupBy("hash").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, minima = Shingles(), Minima(level, MORE_BANDS, MORE_ROWS)
+        hashes, minima = Shingles(), Minima(level)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([minima(hashes(t, width)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([minima(hashes(t, width)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "keys"])
 
-    more = own(some.join(texts.hint("merge"), "hash").select("id", "text").mapInArrow(run, "id long, more array<long>"), "near-more")
-    return placed.select("id", "key").join(more.hint("merge"), "id").select("id", "key", F.explode("more").alias("more")).select("id", F.xxhash64("key", "more").alias("key"))
+    return some.join(texts.hint("merge"), "hash").select("id", "text").mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
 
 
 def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str], width: int, similarity: float, own: Scratch) -> DataFrame:

@@ -504,16 +504,17 @@ def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, crowd):
 
 def test_minima_find_alike_sets():
     rng = np.random.default_rng(8)
-    for share, low, high in ((0.8, 0.98, 1.0), (0.9, 1.0, 1.0), (0.3, 0.0, 0.08)):
-        met = 0
-        for k in range(300):
+    for share, least, low, high in ((0.8, 0.98, 0.9, 1.0), (0.9, 1.0, 0.97, 1.0), (0.3, 0.0, 0.0, 0.08)):
+        met = [0, 0, 0]
+        for _ in range(300):
             n = int(rng.integers(20, 400))
             both = rng.integers(0, 1 << 63, max(1, round(share * n)), np.uint64)
             own = [rng.integers(0, 1 << 63, (n - len(both)) // 2, np.uint64) for _ in "ab"]
             a, b = (np.unique(np.concatenate([both, x])) for x in own)
-            minima = simhash.Minima(k % 3)
-            met += bool(set(minima(a).tolist()) & set(minima(b).tolist()))
-        assert low <= met / 300 <= high
+            for level in range(3):
+                minima = simhash.Minima(level)
+                met[level] += bool(set(minima(a).tolist()) & set(minima(b).tolist()))
+        assert least <= met[0] / 300 and all(low <= m / 300 <= high for m in met)
 
 
 def test_first_of_groups_keeps_columns_of_any_name(spark):
