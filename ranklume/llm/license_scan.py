@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import license_rules
+from .license_rules import RULES
 from .common import small_batches
 
 #: Words after ASCII lower-casing: what stands between ASCII characters other than letters and digits.
@@ -101,7 +101,7 @@ def literal(pattern: str) -> str:
 def written_rules() -> list[Rule]:
     """The rules of license_rules, each behind its longest literal run."""
     out = []
-    for line in license_rules.RULES.strip().splitlines():
+    for line in RULES.strip().splitlines():
         label, priority, weight, pattern = line.split(" ", 3)
         out.append(Rule(label, int(priority), float(weight), (literal(pattern),), pattern))
     return out

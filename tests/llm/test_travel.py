@@ -15,7 +15,8 @@ def test_functions_travel_by_value(tmp_path):
     calls = [
         (license_scan.detections, (b"licensed under the mit license",)),
         (simhash.simhash, ("a b c d",)),
-        (simhash.wide_simhash, ("a b c d",)),
+        (simhash.Minima(0), (simhash.np.arange(9, dtype="u8") << simhash.np.uint64(40),)),
+        (simhash.Shingles(), ("a b c d e f", 5)),
         (fingerprint.fingerprint, ("some text of a document",)),
         (quality.features, ("Some text.",)),
         (toxicity.passages, ("so bad", toxicity.Scores(model.scores), model.other)),
