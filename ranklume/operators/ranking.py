@@ -121,7 +121,7 @@ def author_ranking(ranked_items: DataFrame, book_authors: DataFrame, authors: Da
     who = authors.where(~flag(F.col("exclude_from_rankings"))).select(F.col("id").alias("author_id"))
     sums = ranked_items.where("score > 0").join(book_authors.where("role = 0").select(F.col("book_id").alias("item_id"), "author_id"), "item_id").join(who, "author_id").groupBy("author_id").agg(F.count("*").alias("books"), F.sum("score").alias("total"))
     score = F.round(F.col("total") * scoring.author_share(F.col("books")), 2).cast("decimal(20,2)")
-    return ranked(sums.select("author_id", "books", score.alias("score")).where("score > 0"), "score", "author_id")
+    return ranked(sums.select("author_id", "books", score.alias("score")).where("score > 0"), "score", "author_id", most=authors.count())
 
 
 def artist_ranking(albums: DataFrame, songs: DataFrame, album_artists: DataFrame, song_artists: DataFrame) -> DataFrame:

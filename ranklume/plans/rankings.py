@@ -103,7 +103,7 @@ SELECT item_id, CAST(score AS DECIMAL(20,2)) AS score, CAST(ROW_NUMBER() OVER (O
 def item_ranking(c) -> DataFrame:
     """The pipeline of the master ranking. Its kernel is a placeholder: the SQL repeats it, so this checks the pipeline only."""
     median = ranking.median_list_count(c.lists, c.list_items, "Books::List")
-    return ranking.ranked(ranking.item_scores(c.lists, c.list_items, _weights(c), c.books, median=median))
+    return ranking.ranked(ranking.item_scores(c.lists, c.list_items, _weights(c), c.books, median=median), most=c.lineitem.count())
 
 
 @plan("""
