@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -140,7 +141,7 @@ def bounds(docs: DataFrame, rows: int) -> list[int]:
     if parts == 1:
         return []
     cuts = docs.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(c) for c in cuts})
+    return sorted({min(int(c), (1 << 63) - 1) for c in cuts})  # the largest longs round to a double beyond them
 
 
 def even_keys(n: int) -> np.ndarray:
@@ -212,12 +213,11 @@ def against_edited(docs: DataFrame, rows: int = 4096) -> DataFrame:
 
 def _range_of(cuts: list[int], keys: list[int]):
     """The key of the range that doc_id is in, by a vectorised search: far cheaper than a chain of conditions."""
-    import pandas as pd
-
     edges, of = np.array(cuts, np.int64), np.array(keys, np.int32)
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(of[np.searchsorted(edges, ids.fillna(0).astype("int64").to_numpy(), side="right")])
+        return pd.Series(of[np.searchsorted(edges, ids.to_numpy(), side="right")])
 
-    return place(F.col("doc_id"))
+    # a batch with nulls would arrive as doubles, which do not tell large doc_ids apart
+    return place(F.coalesce("doc_id", F.lit(0).cast("long")))

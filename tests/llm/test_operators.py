@@ -308,6 +308,14 @@ def test_fingerprints(spark, docs, none):
     assert fingerprint.against_edited(spark.createDataFrame([(1, "abcd"), (None, "x")], "doc_id long, text string")).count() == 2
 
 
+def test_fingerprints_over_many_ranges(spark):
+    ids = [None, *range(-300, 300, 2), *range((1 << 53) + 1, (1 << 53) + 301), *range((1 << 63) - 200, 1 << 63)]
+    df = spark.createDataFrame([(i, f"text {i} of a document with the number {i}") for i in ids], "doc_id long, text string").repartition(3)
+    assert len(fingerprint.bounds(df, 2)) > 128
+    whole, many = (sorted(map(tuple, fingerprint.against_edited(df, rows).collect()), key=repr) for rows in (4096, 2))
+    assert len(whole) == len(ids) and many == whole
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 500])
 def test_even_keys(spark, n):
     keys = spark.createDataFrame([(int(k),) for k in fingerprint.even_keys(n)], "k int")
