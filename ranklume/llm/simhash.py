@@ -8,6 +8,7 @@ link verified, and the links' components are the groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, connected_components, maybe_among, salted_lookup, small_batches, staged, unused
+from .common import Scratch, connected_components, maybe_among, salted_lookup, sent, small_batches, staged, unused
 
 SEED = 42
 
@@ -106,6 +107,8 @@ LEVELS = ((6, 20), (9, 24), (12, 40))
 MEMO, AT_ONCE, PARITY = 300_000, 4096, 512
 #: The most members of a key that are compared all with all; leaders that a set is compared with at each level.
 CROWD, LEADERS = 16, 8
+#: Slots (a power of 2) in which shingles are counted, in CHUNKS parts; members of a key that one task compares with others at once.
+SLOT_BITS, CHUNKS, BLOCK = 21, 64, 4096
 
 
 class Shingles(dict):
@@ -157,9 +160,10 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     with a probability of 0.998 and more alike ones more often; every link is verified on whole texts. Null texts are empty, and empty
     texts are copies of each other. Rows without doc_id are in no group; rows of one doc_id are one document, other columns are not read.
 
-    Work is linear in the rows of a key: members of small keys are all compared, those of crowded ones with their keys' leaders, the sets that
-    meet most others. Sets that then still share a crowded key with sets of other groups get the next level's keys, of more minima, which
-    unlike sets no longer share; in keys that are crowded even at the last level, leaders alone are compared.
+    Members of small keys are all compared, those of crowded ones first with their keys' leaders, the sets that meet most others. Sets that
+    then still share a crowded key with sets of other groups get the next level's keys, of more minima, which unlike sets no longer share.
+    That joins most groups at little cost and settles none of the crowded keys: whatever sets of a crowded key of the first level are of
+    several groups after the last one are all compared, by their first shingles (_rest), which misses no pair.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -185,7 +189,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     several = prints.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b < high").select("doc_id", "b")
     links = prints.join(several, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     links, _ = staged(links, "near-same")
-    crowd, new = None, True
+    crowd, first, new = None, None, True
     for level in range(len(LEVELS)):
         with Scratch(spark) as own:
             if new:
@@ -201,7 +205,19 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             found, _ = staged(_alike(docs, sets, _leaders(crowded).unionByName(small), maps, width, similarity, own), "near-found")
             new = not found.isEmpty()
             links = links.unionByName(found) if new else links
+            if not level:
+                first, _ = staged(crowded.select("id", "key", "meets"), "near-first")
             crowd, _ = staged(crowded.select("id").distinct(), "near-crowd")
+    if new:
+        roots, _ = staged(connected_components(links, "near-links").select(F.col("node").alias("id"), "root"), "near-roots")
+        new = False
+    if first is not None:
+        with Scratch(spark) as own:
+            rest = own(_apart(first, roots, own).select("id", "root").distinct(), "near-rest")
+            if not rest.isEmpty():
+                found, _ = staged(_alike(docs, sets, _rest(docs, sets, rest, maps, width, similarity, own), maps, width, similarity, own), "near-found")
+                new = not found.isEmpty()
+                links = links.unionByName(found) if new else links
     if new:
         roots = connected_components(links, "near-links").select(F.col("node").alias("id"), "root")
     members = prints.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
@@ -234,18 +250,91 @@ def _leaders(crowd: DataFrame) -> DataFrame:
     return crowd.where("root <> of").groupBy("id").agg(best.alias("x")).select("id", F.explode("x.lead").alias("b"))
 
 
-def _keyed(docs: DataFrame, sets: DataFrame, crowd: DataFrame, width: int, level: int, own: Scratch) -> DataFrame:
-    """Rows (id, key) of a level's keys of the sets in crowd (id)."""
-    some = own(sets.select("id", "hash").dropDuplicates(["id"]).join(crowd.hint("merge"), "id"), "near-some")
+def _texts(docs: DataFrame, sets: DataFrame, ids: DataFrame, own: Scratch) -> DataFrame:
+    """id and a text of each set in ids (id)."""
+    some = own(sets.select("id", "hash").dropDuplicates(["id"]).join(ids.hint("merge"), "id"), "near-some")
     among = maybe_among(some, "hash")
     texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).groupBy("hash").agg(F.min("text").alias("text"))
+    return some.join(texts.hint("merge"), "hash").select("id", "text")
+
+
+def _keyed(docs: DataFrame, sets: DataFrame, crowd: DataFrame, width: int, level: int, own: Scratch) -> DataFrame:
+    """Rows (id, key) of a level's keys of the sets in crowd (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minima = Shingles(), Minima(level)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([minima(hashes(t, width)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "keys"])
 
-    return some.join(texts.hint("merge"), "hash").select("id", "text").mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    return _texts(docs, sets, crowd, own).mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+
+
+def _levels(texts: DataFrame, width: int) -> np.ndarray:
+    """How frequent each slot's shingles are, by an eighth of a power of 2: a table of fixed size however many texts there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = Shingles(), np.zeros(1 << SLOT_BITS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (hashes(text, width) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        for k, part in enumerate(np.split(counts, CHUNKS)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
+        for k, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.round(8 * np.log2(1 + n)).clip(0, 255).astype(np.uint8).tobytes()], pa.binary())], ["part", "counts"])
+
+    schema = "part int, counts binary"
+    levels = np.zeros((CHUNKS, (1 << SLOT_BITS) // CHUNKS), np.uint8)
+    for r in texts.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(total, schema).collect():
+        levels[r["part"]] = np.frombuffer(r["counts"], np.uint8)
+    return levels.reshape(-1)
+
+
+def _prefix(h: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's shingles in one order for all sets, rare ones first: as many as leave too few others for two alike sets to share none of the first."""
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1 if len(h) else 0
+    order = levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+    return (np.partition(order, n - 1)[:n] if 0 < n < len(order) else order).view(np.int64)
+
+
+def _rest(docs: DataFrame, sets: DataFrame, rest: DataFrame, maps: list[str], width: int, similarity: float, own: Scratch) -> DataFrame:
+    """Pairs id, b that hold all alike sets of different groups among rest (id, root).
+
+    Two alike sets share one of their first shingles in any order, so all who share one are compared where they stand, by group, size
+    and parity map, which leaves few pairs. A key's sets outside of its largest group meet all, dealt into blocks, so that
+    a large group costs no square and a large key is no single task.
+    """
+    texts = own(_texts(docs, sets, rest.select("id"), own), "near-rest-texts")
+    levels = sent(docs.sparkSession, _levels(texts, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, table = Shingles(), levels()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_prefix(hashes(t, width), table, similarity) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "keys"])
+
+    rows = own(texts.mapInArrow(run, "id long, keys array<long>").join(rest.hint("merge"), "id").select("id", "root", F.explode("keys").alias("key")), "near-prefixes")
+    keys = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    keys = keys.select("key", F.col("most.root").alias("main"), F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    # keys of one group are gone before the rows get wide
+    met = own(rows.join(keys.hint("merge"), "key"), "near-met")
+    one = sets.select("id", "n", *maps).dropDuplicates(["id"])
+    met = own(met.join(one.hint("merge"), "id"), "near-wide")
+    few = met.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    all_ = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    left, right = (x.select(*[F.col(c).alias(f"{c}_{end}") for c in ("key", "block", "id", "root", "main", "n", *maps)]).hint("merge") for x, end in ((few, "a"), (all_, "b")))
+    on = [F.col("key_a") == F.col("key_b"), F.col("block_a") == F.col("block_b"), F.col("root_a") != F.col("root_b"), (F.col("root_b") == F.col("main_b")) | (F.col("id_a") < F.col("id_b")), _able(maps, similarity)]
+    return left.join(right, on).select(F.col("id_a").alias("id"), F.col("id_b").alias("b"))
+
+
+def _able(maps: list[str], similarity: float) -> F.Column:
+    """Whether two sets can be alike, by their sizes (n_a, n_b) and parity maps: |x & y| >= J / (1 + J) (|x| + |y|), so the rest is at most (1 - J) / (1 + J) of both, and no fewer than the odd bits."""
+    odd = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps)
+    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
 
 
 def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str], width: int, similarity: float, own: Scratch) -> DataFrame:
@@ -255,10 +344,7 @@ def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame, maps: list[str],
     one = sets.select("id", "n", "hash", *maps).dropDuplicates(["id"])
     left, right = (one.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "hash", *maps)]) for end in "ab")
     both = pairs.join(left, "a").join(right, "b")
-    # |x & y| >= J / (1 + J) (|x| + |y|), so the rest is at most (1 - J) / (1 + J) of both, and no fewer than the odd bits
-    odd = sum(F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in maps)
-    able = (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-6)
-    close = own(both.where(able).select("a", "b", "hash_a", "hash_b"), "near-close")
+    close = own(both.where(_able(maps, similarity)).select("a", "b", "hash_a", "hash_b"), "near-close")
     wanted = close.select(F.explode(F.array("hash_a", "hash_b")).alias("hash")).distinct()
     among = maybe_among(wanted, "hash")
     texts = docs.withColumn("hash", F.xxhash64("text")).where(among(F.col("hash"))).groupBy("hash").agg(F.min("text").alias("text")).join(wanted, "hash")

@@ -510,6 +510,24 @@ def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, crowd):
     assert got == alike_groups(texts) and len(got) > 60
 
 
+def crowded_texts():
+    """Pairs at a similarity of 0.806 among texts of one form, of 0.791 with each other: all share crowded keys, at every level."""
+    form, out = prose(5000, 300).split(), []
+    for k in range(120):
+        own = prose(5100 + k, 3).split()
+        out += [form + own + prose(5300 + 2 * k + j, 36).split() for j in range(2)]
+    return {i: " ".join(t) for i, t in enumerate(out)}
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = crowded_texts()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(df).collect()}
+    assert got == alike_groups(texts) and len(got) >= 240 and len(set(got.values())) > 100
+
+
 def test_minima_find_alike_sets():
     rng = np.random.default_rng(8)
     for share, least, low, high in ((0.8, 0.98, 0.9, 1.0), (0.9, 1.0, 0.97, 1.0), (0.3, 0.0, 0.0, 0.08)):
