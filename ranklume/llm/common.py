@@ -113,33 +113,49 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, salt_on: str, how:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+#: A node of more ends of links than this, and than a MOST_HOTth of all, is hot: fewer than MOST_HOT nodes are.
+HOT, MOST_HOT = 1000, 20_000
+
+
+def _with_least(rows: DataFrame, hot: int) -> DataFrame:
+    """The rows u, v with ``m``, the least v of their u. Least ends of hot nodes are broadcast, so that no row is repeated and no hot node is one task."""
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    few, many = low.where(F.col("n") <= hot).drop("n"), low.where(F.col("n") > hot).drop("n")
+    return rows.join(few.hint("merge"), "u").unionByName(rows.join(F.broadcast(many), "u"))
+
+
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Nodes (``node``) of the links ``a``-``b`` (long) and the smallest node they reach (``root``).
 
     Alternates large and small stars until the links are stars about the smallest nodes, which takes
-    rounds in the logarithm of a chain's length. Minima are pre-aggregated and lookups salted, so a node
+    rounds in the logarithm of a chain's length. Minima are pre-aggregated and those of hot nodes broadcast, so a node
     with very many links is no hot task. Each round is a table in the shared folder; the driver learns only
-    whether all are stars. Self-links and null ends are ignored; nodes without a link do not appear.
+    whether all are stars and how many links there are. Self-links and null ends are ignored; nodes without a link do not appear.
     """
     spark = edges.sparkSession
     found = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links, path = staged(found, label)
-    while not _stars(links):
+    while True:
+        done, n = _stars(links)
+        if done:
+            break
+        hot = max(HOT, 2 * n // MOST_HOT)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = salted_lookup(both.where("v > u"), low, "u", "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = salted_lookup(large, low, "u", "v", "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links, new = staged(moved.unionByName(low.withColumnRenamed("m", "v")).distinct(), label)
-        dropped(spark, path)
+        large = _with_least(both, hot).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large, other = staged(large, label)
+        moved = _with_least(large, hot).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("v"))
+        links, new = staged(moved.unionByName(low).distinct(), label)
+        dropped(spark, path, other)
         path = new
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _stars(links: DataFrame) -> bool:
-    """Whether each node has one lower neighbour at most, which has none: then it is the root, and all are found."""
+def _stars(links: DataFrame) -> tuple[bool, int]:
+    """Whether each node has one lower neighbour at most, which has none: then it is the root, and all are found. Also the number of links."""
     ends = links.select("u", F.lit(1).alias("up")).unionByName(links.select(F.col("v").alias("u"), F.lit(0).alias("up"))).groupBy("u").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
-    return ends.where("ups > 1 or ups = 1 and n > 1").isEmpty()
+    found = ends.agg(F.coalesce(F.sum("ups"), F.lit(0)).alias("links"), F.count(F.expr("if(ups > 1 or ups = 1 and n > 1, 1, null)")).alias("others")).first()
+    return found["others"] == 0, found["links"]
 
 
 #: Bits of a filter of ids, which has this size however many ids there are.

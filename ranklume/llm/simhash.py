@@ -188,13 +188,10 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     # sets of one document are of one group
     several = prints.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b < high").select("doc_id", "b")
     links = prints.join(several, "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links, _ = staged(links, "near-same")
-    crowd, first, new = None, None, True
+    roots, _ = staged(connected_components(links, "near-links").select(F.col("node").alias("id"), "root"), "near-roots")
+    crowd, first = None, None
     for level in range(len(LEVELS)):
         with Scratch(spark) as own:
-            if new:
-                roots, _ = staged(connected_components(links, "near-links").select(F.col("node").alias("id"), "root"), "near-roots")
-                new = False
             keyed = _keyed(docs, sets, crowd, width, level, own) if level else sets.select("id", F.explode("keys").alias("key"))
             placed = _apart(_shared(keyed, own), roots, own)
             if placed.isEmpty():
@@ -202,30 +199,34 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
             few = placed.where(F.col("n") <= CROWD).select("key", "id", "root")
             small = few.hint("merge").join(few.select("key", F.col("id").alias("b"), F.col("root").alias("of")), "key").where("id < b and root <> of").select("id", "b")
             crowded = placed.where(F.col("n") > CROWD)
-            found, _ = staged(_alike(docs, sets, _leaders(crowded).unionByName(small), maps, width, similarity, own), "near-found")
-            new = not found.isEmpty()
-            links = links.unionByName(found) if new else links
+            roots = _linked(roots, own(_alike(docs, sets, _leaders(crowded).unionByName(small), maps, width, similarity, own), "near-found"), own)
             if not level:
                 first, _ = staged(crowded.select("id", "key", "meets"), "near-first")
             crowd, _ = staged(crowded.select("id").distinct(), "near-crowd")
-    if new:
-        roots, _ = staged(connected_components(links, "near-links").select(F.col("node").alias("id"), "root"), "near-roots")
-        new = False
     if first is not None:
         with Scratch(spark) as own:
             rest = own(_apart(first, roots, own).select("id", "root").distinct(), "near-rest")
             if not rest.isEmpty():
-                found, _ = staged(_alike(docs, sets, _rest(docs, sets, rest, maps, width, similarity, own), maps, width, similarity, own), "near-found")
-                new = not found.isEmpty()
-                links = links.unionByName(found) if new else links
-    if new:
-        roots = connected_components(links, "near-links").select(F.col("node").alias("id"), "root")
+                roots = _linked(roots, own(_alike(docs, sets, _rest(docs, sets, rest, maps, width, similarity, own), maps, width, similarity, own), "near-found"), own)
     members = prints.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root")).distinct()
     members, _ = staged(members, "near-members")
     lowest = members.groupBy("root").agg(F.min("doc_id").alias("group"), F.max("doc_id").alias("high")).where("high > group").select("root", "group")
     return members.join(lowest.hint("merge"), "root").select("doc_id", "group").distinct()
 
 
+def _linked(roots: DataFrame, found: DataFrame, own: Scratch) -> DataFrame:
+    """roots (id, root), written anew, after the links a, b of found. Only links of different groups are walked, as links of their roots: what is joined stays joined."""
+    if found.isEmpty():
+        return roots
+    for end in "ab":  # written tables, so that adaptive execution splits the links of a leader and the sets of a large group
+        found = found.join(roots.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root")).hint("merge"), end, "left")
+    between = own(found.select(*[F.coalesce(f"{end}_root", end).alias(end) for end in "ab"]).where("a <> b").distinct(), "near-between")
+    moved = own(connected_components(between, "near-links").select("node", F.col("root").alias("to")), "near-moved")
+    held = roots.join(moved.withColumnRenamed("node", "root").hint("merge"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    fresh = moved.join(roots.select(F.col("id").alias("node")).hint("merge"), "node", "left_anti").select(F.col("node").alias("id"), F.col("to").alias("root"))
+    return staged(held.unionByName(fresh), "near-roots")[0]
+
+
 def _shared(keyed: DataFrame, own: Scratch) -> DataFrame:
     """Rows (id, key) of keys with several sets, and ``meets``, how many a set meets. Of keys with the same members one is enough."""
     keyed = own(keyed.distinct(), "near-keyed")

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ranklume.llm import chat_format, decontaminate, fingerprint, license_scan, packing, quality, secret_scan, simhash, substring_dedup, toxicity
+from ranklume.llm import chat_format, common, decontaminate, fingerprint, license_scan, packing, quality, secret_scan, simhash, substring_dedup, toxicity
 from ranklume.llm.common import connected_components, held_out, held_out_column
 from ranklume.llm.queries import tokenizer_path
 
@@ -469,6 +469,22 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 100 for i in range(100, 181)} | {i: 1 for i in range(1, 60)}
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components_repeat_no_row(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot, raising=False)
+    rng, plans, keep = np.random.default_rng(21), [], common.staged
+    monkeypatch.setattr(common, "staged", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or keep(df, label))
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000, i) for i in range(900, 1300)] + [(2000 + i, 2001 + i) for i in range(40)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == root and len(plans) > 3
+    assert not any("explode" in p.lower() or "Generate" in p for p in plans)
+
+
 def test_near_groups(docs, none):
     got = {r["doc_id"]: r["group"] for r in simhash.near_groups(docs).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 7: 7, 15: 7}  # a text of white space has no words, as an empty one
@@ -510,6 +526,24 @@ def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, crowd):
     assert got == alike_groups(texts) and len(got) > 60
 
 
+def test_near_groups_walk_no_link_twice(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    walked, keep = [], simhash.connected_components
+
+    def seen(edges, label="components"):
+        walked.append([(r["a"], r["b"]) for r in edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).collect()])
+        return keep(edges, label)
+
+    monkeypatch.setattr(simhash, "connected_components", seen)
+    form, texts = prose(6000, 200).split(), edited_texts()
+    texts |= {1000 + k: " ".join(form[:-k] + prose(6100 + k, k).split()) for k in range(1, 22)}  # one group, joined over several levels
+    got = {r["doc_id"]: r["group"] for r in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert got == alike_groups(texts)
+    pairs = [p for w in walked for p in w]
+    assert sum(map(bool, walked)) > 1 and len(pairs) == len(set(pairs))
+
+
 def crowded_texts():
     """Pairs at a similarity of 0.806 among texts of one form, of 0.791 with each other: all share crowded keys, at every level."""
     form, out = prose(5000, 300).split(), []
