@@ -114,14 +114,15 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, salt_on: str, how:
 
 
 #: A node of more ends of links than this, and than a MOST_HOTth of all, is hot: fewer than MOST_HOT nodes are.
-HOT, MOST_HOT = 1000, 20_000
+HOT, MOST_HOT = 100, 20_000
 
 
 def _with_least(rows: DataFrame, hot: int) -> DataFrame:
     """The rows u, v with ``m``, the least v of their u. Least ends of hot nodes are broadcast, so that no row is repeated and no hot node is one task."""
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     few, many = low.where(F.col("n") <= hot).drop("n"), low.where(F.col("n") > hot).drop("n")
-    return rows.join(few.hint("merge"), "u").unionByName(rows.join(F.broadcast(many), "u"))
+    cold = rows.join(F.broadcast(many.select("u")), "u", "left_anti")  # rows of hot nodes are gone before the rest are dealt by node
+    return cold.join(few.hint("merge"), "u").unionByName(rows.join(F.broadcast(many), "u"))
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:

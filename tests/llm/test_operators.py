@@ -469,7 +469,7 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 100 for i in range(100, 181)} | {i: 1 for i in range(1, 60)}
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
+@pytest.mark.parametrize("hot", [100, 3])
 def test_components_repeat_no_row(spark, monkeypatch, hot):
     monkeypatch.setattr(common, "HOT", hot, raising=False)
     rng, plans, keep = np.random.default_rng(21), [], common.staged
@@ -485,6 +485,14 @@ def test_components_repeat_no_row(spark, monkeypatch, hot):
     assert not any("explode" in p.lower() or "Generate" in p for p in plans)
 
 
+def test_rows_of_hot_nodes_are_not_dealt_by_node(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(5000)] + [(i, i + 1) for i in range(10, 500)], "u long, v long").repartition(4)
+    got = common._with_least(rows, 100)
+    assert sorted(tuple(r) for r in got.select("u", "v", "m").collect()) == sorted([(1, i, 0) for i in range(5000)] + [(i, i + 1, i + 1) for i in range(10, 500)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and plan.count("strategy=broadcast") == 2  # hot rows leave by broadcast, none is merged
+
+
 def test_near_groups(docs, none):
     got = {r["doc_id"]: r["group"] for r in simhash.near_groups(docs).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 7: 7, 15: 7}  # a text of white space has no words, as an empty one
